@@ -46,7 +46,7 @@ def compare(op: str, a, b) -> Column:
 def divide(a, b) -> Column:
     """Double division; a zero divisor gives an infinity, or NaN for 0/0 and NaN/0."""
     a, b = _double(a), _double(b)
-    negative_zero = F.atan2(F.lit(0.0), b) > 3  # pi for -0.0, 0 for 0.0
+    negative_zero = b.cast("string").startswith("-")  # compared, -0.0 equals 0.0
     infinity = F.when((a > 0) != negative_zero, F.lit(_INF)).otherwise(F.lit(-_INF))
     by_zero = F.when((a == 0) | F.isnan(a), F.lit(_NAN)).otherwise(infinity)
     return F.when(b.isNull() | a.isNull(), F.lit(None).cast("double")).when(b == 0, by_zero).otherwise(a / F.when(b != 0, b))

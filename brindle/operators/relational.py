@@ -81,11 +81,12 @@ def running_sum(df: DataFrame, value: str, order: Sequence[str], partition: Sequ
     """
     up_to = (Window.unboundedPreceding, 0)
     kind = df.schema[order[0]].dataType
-    number = {"timestamp": F.unix_micros, "date": F.unix_date}.get(kind.typeName(), lambda c: c)(F.col(order[0])).cast("double")
+    number = {"timestamp": F.unix_micros, "date": F.unix_date}.get(kind.typeName(), lambda x: x)(F.col(order[0])).cast("double")
     if partition or not isinstance(kind, T.NumericType | T.TimestampType | T.DateType):
         return df.withColumn(name, F.sum(value).over(window(partition, order, rows=up_to)))
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(df.select(number.alias("__x")).approxQuantile("__x", [k / n for k in range(1, n)], 0.2 / n)))
+    cuts = [k / n for k in range(1, n)]
+    bounds = sorted(set(df.select(number.alias("__x")).approxQuantile("__x", cuts, 0.2 / n))) if cuts else []
     part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= number)) if bounds else F.lit(0)
     dealt = df.withColumn("__part", F.when(number.isNull(), -1).otherwise(part))
     inside = dealt.withColumn(name, F.sum(value).over(window(["__part"], order, rows=up_to)))

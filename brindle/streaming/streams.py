@@ -20,10 +20,15 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, file
     return reader.parquet(path)
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """Watermarks need an instant; a time without zone is taken in the session's zone."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", time: str = "ts", key: str = "event_type", value: str = "value") -> DataFrame:
     """Count and sum by key in windows; rows later than ``late`` are left out."""
     return (
-        events.withWatermark(time, late)
+        _timed(events, time, late)
         .groupBy(F.window(time, width), key)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
         .select(F.col("window.start").alias("start"), key, "n", "total")
@@ -33,7 +38,7 @@ def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
 def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", time: str = "ts", key: str = "user_id") -> DataFrame:
     """Events of each session: a session ends after ``gap`` without one."""
     return (
-        events.withWatermark(time, late)
+        _timed(events, time, late)
         .groupBy(F.session_window(time, gap), key)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
