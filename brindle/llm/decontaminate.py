@@ -32,7 +32,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(text.casefold())
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
