@@ -397,10 +397,10 @@ def join_mixed_width(spark, d):
 
 
 def _outer(how: str, sql: str) -> None:
-    @query(f"SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT * FROM customer WHERE c_custkey % 5 <> 0) x {sql} JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) y ON c_custkey = o_custkey", name=f"join_{how}")
+    @query(f"SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT * FROM customer WHERE c_acctbal > 0) x {sql} JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') y ON c_custkey = o_custkey", name=f"join_{how}")
     def run(spark, d):
-        cu = filter_rows(scan(spark, d, "customer", "c_custkey"), c("c_custkey") % 5 != 0)
-        o = filter_rows(scan(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice"), c("o_orderkey") % 3 == 0)
+        cu = filter_rows(scan(spark, d, "customer", "c_custkey", "c_acctbal"), c("c_acctbal") > 0)
+        o = filter_rows(scan(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), c("o_orderstatus") == "F")
         return hash_join(cu, o, [("c_custkey", "o_custkey")], how).select("c_custkey", "o_orderkey", "o_totalprice")
 
 
@@ -442,10 +442,9 @@ def join_asof(spark, d):
     return filter_rows(project(marked, event_id="event_id", prior=prior), c("prior").isNotNull())
 
 
-@query("SELECT min(x) AS mn, max(x) AS mx, count(*) AS n FROM (SELECT round(sin(s_acctbal) + cos(p_retailprice), 9) AS x FROM supplier, (SELECT p_retailprice FROM part WHERE p_partkey < 2000) p) q")
+@query("SELECT min(x) AS mn, max(x) AS mx, count(*) AS n FROM (SELECT round(sin(s_acctbal) + cos(p_retailprice), 9) AS x FROM supplier, part) q")
 def cross_math(spark, d):
-    p = filter_rows(scan(spark, d, "part", "p_retailprice", "p_partkey"), c("p_partkey") < 2000).select("p_retailprice")
-    x = cross_product(scan(spark, d, "supplier", "s_acctbal"), F.broadcast(p))
+    x = cross_product(scan(spark, d, "part", "p_retailprice"), scan(spark, d, "supplier", "s_acctbal"))
     return aggregate(project(x, x=F.round(fn.sin("s_acctbal") + fn.cos("p_retailprice"), 9)), mn=F.min("x"), mx=F.max("x"), n=rows())
 
 
@@ -539,10 +538,10 @@ def order_by(spark, d):
 
 
 def _keys(spark, d):
-    return project(scan(spark, d, "customer"), k="c_nationkey"), project(filter_rows(scan(spark, d, "supplier"), c("s_suppkey") % 4 == 0), k="s_nationkey")
+    return project(scan(spark, d, "customer"), k="c_nationkey"), project(filter_rows(scan(spark, d, "supplier"), c("s_acctbal") > 5000), k="s_nationkey")
 
 
-_CK, _SK = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 4 = 0"
+_CK, _SK = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000"
 
 
 @query(f"{_CK} UNION ALL {_SK}")
@@ -605,26 +604,26 @@ def table_function_range(spark, d):
     return aggregate(spark.range(1000), s=F.sum("id"), n=rows())
 
 
-@query("SELECT count(*) AS n FROM (SELECT l_orderkey FROM lineitem WHERE l_orderkey > 100) q")
+@query("SELECT count(*) AS n FROM (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) q")
 def pushdown_count(spark, d):
-    return aggregate(filter_rows(scan(spark, d, "lineitem", "l_orderkey"), c("l_orderkey") > 100), n=rows())
+    return aggregate(filter_rows(scan(spark, d, "lineitem", "l_orderkey", "l_quantity"), c("l_quantity") > 45), n=rows())
 
 
-@query("SELECT min(k) AS a, max(k) AS b, count(*) AS n, CAST(sum(k) AS BIGINT) AS s FROM (SELECT l_orderkey AS k FROM lineitem WHERE l_orderkey > 100) q")
+@query("SELECT min(k) AS a, max(k) AS b, count(*) AS n, CAST(sum(k) AS BIGINT) AS s FROM (SELECT l_orderkey AS k FROM lineitem WHERE l_quantity > 45) q")
 def pushdown_mixed(spark, d):
-    q = project(filter_rows(scan(spark, d, "lineitem", "l_orderkey"), c("l_orderkey") > 100), k="l_orderkey")
+    q = project(filter_rows(scan(spark, d, "lineitem", "l_orderkey", "l_quantity"), c("l_quantity") > 45), k="l_orderkey")
     return aggregate(q, a=F.min("k"), b=F.max("k"), n=rows(), s=F.sum("k"))
 
 
-@query("SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS s FROM lineitem WHERE l_orderkey < 50")
+@query("SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS s FROM lineitem WHERE l_quantity = 1 AND l_discount >= 0.1")
 def highly_selective(spark, d):
-    return aggregate(filter_rows(scan(spark, d, "lineitem", "l_orderkey"), c("l_orderkey") < 50), n=rows(), s=F.sum("l_orderkey"))
+    return aggregate(filter_rows(scan(spark, d, "lineitem", "l_orderkey", "l_quantity", "l_discount"), c("l_quantity") == 1, c("l_discount") >= 0.1), n=rows(), s=F.sum("l_orderkey"))
 
 
 @query("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region
-          WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_regionkey = 2 GROUP BY n_name""")
+          WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' GROUP BY n_name""")
 def local_supplier_volume(spark, d):
-    n = hash_join(scan(spark, d, "nation"), filter_rows(scan(spark, d, "region"), c("r_regionkey") == 2), [("n_regionkey", "r_regionkey")])
+    n = hash_join(scan(spark, d, "nation"), filter_rows(scan(spark, d, "region"), c("r_name") == "ASIA"), [("n_regionkey", "r_regionkey")])
     s = hash_join(scan(spark, d, "supplier", "s_suppkey", "s_nationkey"), n, [("s_nationkey", "n_nationkey")])
     li = hash_join(scan(spark, d, "lineitem", "l_orderkey", "l_suppkey", "l_extendedprice", "l_discount"), s, [("l_suppkey", "s_suppkey")])
     o = hash_join(scan(spark, d, "orders", "o_orderkey", "o_custkey"), scan(spark, d, "customer", "c_custkey", "c_nationkey"), [("o_custkey", "c_custkey")])
