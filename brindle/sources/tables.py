@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -41,6 +42,13 @@ def scan(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return read_parquet(spark, f"{sf_dir}/{table}.parquet", columns or None)
 
 
+def batches(df: DataFrame, rows: int = 65_536) -> Iterator[list[Row]]:
+    """A result in batches of ``rows`` (one at least), fetched a partition at a time as they are asked for."""
+    it = df.toLocalIterator(prefetchPartitions=True)
+    while batch := list(islice(it, max(1, rows))):
+        yield batch
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True) -> DataFrame:
     """CSV with a declared schema: inferring one would read the files twice."""
     return spark.read.schema(schema).csv(path, header=header)

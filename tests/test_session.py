@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from brindle import cli, statements
 from brindle.activity import ActivityLog
 from brindle.session import Session, Settings
-from brindle.sources import TableId, json_rows, read_csv, string_rows, write_table
+from brindle.sources import TableId, batches, json_rows, read_csv, string_rows, write_table
 
 
 @pytest.fixture
@@ -114,6 +114,14 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).where("k = 1").count() == 2
 
 
+def test_batches_keep_order_and_sizes(spark):
+    df = spark.range(0, 1000, 1, 3)
+    got = list(batches(df, 300))
+    assert [len(b) for b in got] == [300, 300, 300, 100]
+    assert [r.id for b in got for r in b] == list(range(1000))
+    assert list(batches(df.where("id < 0"))) == [] and len(next(batches(df, 0))) == 1
+
+
 def run_cli(*args, text=""):
     out, err = io.StringIO(), io.StringIO()
     code = cli.main(list(args), io.StringIO(text), out, err)
