@@ -219,7 +219,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     ties = keyed.join(shared, "band").where("rep != least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
     families = stage(components(ties), "near-families")  # u, component: every member but the first
     members = families.select(F.col("u").alias("doc_id"), F.col("component").alias("family")).unionByName(families.select(F.col("component").alias("doc_id"), F.col("component").alias("family")).distinct())
-    texts = stage(base.join(members, "doc_id").select("family", "doc_id", "text", F.length("text").cast("long").alias("size")), "near-members")
+    # Members are many at scale, so the plan is the same at every size: a shuffled join.
+    texts = stage(base.join(members.hint("merge"), "doc_id").select("family", "doc_id", "text", F.length("text").cast("long").alias("size")), "near-members")
     links = components(_family_links(texts, words, percent, chunk_chars, shards(spark)))
     labels = classes.join(links.select(F.col("u").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
@@ -229,9 +230,12 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
 
 def _family_links(texts: DataFrame, words: int, percent: int, chunk_chars: int, n: int) -> DataFrame:
     """Confirmed links (u, v); families beyond ``chunk_chars`` are compared chunk by chunk."""
-    sizes = texts.groupBy("family").agg(F.ceil(F.sum("size") / F.lit(chunk_chars)).cast("int").alias("chunks"))
-    placed = texts.join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.greatest("chunks", F.lit(1))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.greatest("chunks", F.lit(1)) - 1))
+    large = texts.groupBy("family").agg(F.ceil(F.sum("size") / F.lit(chunk_chars)).cast("int").alias("chunks")).where("chunks > 1")
+    if large.limit(50_001).count() <= 50_000:  # 12 bytes each: a size-checked broadcast
+        large = F.broadcast(large)
+    chunks = F.coalesce("chunks", F.lit(1))
+    placed = texts.join(large, "family", "left").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), chunks - 1))
     pairs = placed.withColumn("other", other).select("family", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "doc_id", "text")
     grouped = pairs.repartition(n, "family", "left", "right").sortWithinPartitions("family", "left", "right")
     return grouped.mapInArrow(_link_chunk(words, percent), "u long, v long")
