@@ -9,6 +9,9 @@ cuts in any case:
   beside it, and before a single newline.  A text with any other white space at a
   piece's edge goes to the library whole.
 * ``drop`` mode (a pre-tokenizer that drops white space): at white space.
+
+Words of plain Latin letters are one pre-token each, so they go to the library's model
+alone, past its normalizer and pre-tokenizer, whose work on single letters is tabled.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ import numpy as np
 END_ID = 2
 
 _EDGE = re.compile(r"^\s|\s$|[\x1c-\x1f]")
+#: A word of plain letters with marks behind it: pre-tokenizers cut between the two.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = {"space": re.compile(rf"\x00?[{_LETTERS}]+\Z"), "drop": re.compile(rf"[{_LETTERS}]+\Z")}
+_MARKED = re.compile(r"(\n?)(\x00?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)\Z|(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)\Z")
 #: White space for Python alone.
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 
@@ -40,7 +47,7 @@ def tokenizer_path(name_or_path: str) -> str:
 class PieceEncoder:
     """Ids of whole texts as little-endian bytes; ``width`` bytes an id (2 if the vocabulary allows)."""
 
-    def __init__(self, path: str, mode: str, generation: int = 150_000):
+    def __init__(self, path: str, mode: str, generation: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -51,22 +58,65 @@ class PieceEncoder:
         self.dtype = np.dtype(f"<u{self.width}")
         self.code = "H" if self.width == 2 else "I"
         self.mode, self.generation = mode, generation
+        self.plain = self._letter_table()
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
+    def _letter_table(self) -> dict[int, str] | None:
+        """What normalizer and pre-tokenizer make of each plain letter; None if the model needs more than that."""
+
+        def shown(c: str) -> str:
+            for part in filter(None, (self.tok.normalizer,)):
+                c = part.normalize_str(c)
+            return "".join(x for x, _ in self.tok.pre_tokenizer.pre_tokenize_str(c))
+
+        letters = [chr(c) for c in range(256) if _PLAIN[self.mode].match(chr(c))]
+        table = {ord(c): shown(c) for c in letters}
+        if self.mode == "space":
+            table[32] = shown(" a")[: -len(shown("a"))]
+        trial = ["".join(letters[i::7]) for i in range(7)] + ["Straße", "été", "TheÀ", "a", *letters]
+        lead = " " if self.mode == "space" else ""
+        ok = all(self._model(lead + w, table) == ids for w, ids in zip(trial, self._raw([lead + w for w in trial]), strict=True))
+        return table if ok else None
+
+    def _model(self, word: str, table: dict[int, str]) -> bytes:
+        return array(self.code, [t.id for t in self.tok.model.tokenize(word.translate(table))]).tobytes()
+
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
-        fresh = []
+        """Ids of pieces that the young generation lacks."""
+        fresh, made = set(), []
         for p in pieces:
             known = self.old.get(p, 0)
             if known != 0:
                 self.young[p] = known
             elif not p or p == "\n" or self.mode == "space" and _EDGE.search(p[1:] if p[0] in "\n\x00" else p):
                 self.young[p] = None
+            elif m := _MARKED.match(p):
+                line, word, marks = (m[4], m[5], "") if m[4] else (m[1], m[2], m[3])
+                parts = [x for x in (line and "\x00\n", "\x00" + word if line and self.mode == "space" else word, marks and "\x00" + marks if self.mode == "space" else marks) if x]
+                made.append((p, parts))
+                for x in parts:
+                    if x not in self.young:
+                        known = self.old.get(x)
+                        if known is None:
+                            fresh.add(x)
+                        else:
+                            self.young[x] = known
             else:
-                fresh.append(p)
+                fresh.add(p)
+        if self.plain:
+            plain = _PLAIN[self.mode].match
+            words = [p for p in fresh if plain(p)]
+            lead = " " if self.mode == "space" else ""
+            model, code, table = self.tok.model.tokenize, self.code, self.plain
+            for p in words:
+                shown = (p[1:] if p[0] == "\x00" else lead + p).translate(table)
+                self.young[p] = array(code, [t.id for t in model(shown)]).tobytes()
+            fresh.difference_update(words)
+        fresh = list(fresh)
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
             if self.mode == "space":
@@ -74,6 +124,8 @@ class PieceEncoder:
             else:
                 texts = part
             self.young.update(zip(part, self._raw(texts), strict=True))
+        for p, parts in made:
+            self.young[p] = b"".join([self.young[x] for x in parts])
 
     def _cut(self, text: str) -> list[str]:
         if self.mode == "drop":
