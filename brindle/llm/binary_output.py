@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shards, stage
-from .packing import _STAGED, part_offsets, tokenized
+from .packing import _STAGED, _slices, part_offsets, tokenized
 from .tokens import encoder
 
 SCALE = 20  # frequencies sum to 2**SCALE
@@ -166,8 +166,8 @@ def _histogram(width: int, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for raw in b.column("ids"):
-                counts += np.bincount(np.frombuffer(raw.as_buffer(), f"<u{width}"), minlength=vocabulary)
+            for part in _slices(b):
+                counts += np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), f"<u{width}"), minlength=vocabulary)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["symbol", "n"])
 
