@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -14,12 +15,17 @@ from brindle.llm.tokens import PieceEncoder, encoder, tokenizer_path
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
-def reference(name, text):
+@lru_cache
+def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
     t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return t
+
+
+def reference(name, text):
+    return [*library(name).encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def crc(ids):
