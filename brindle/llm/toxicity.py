@@ -1,7 +1,8 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, judged in context.
 
-Lexicon terms (word stems) are learned from labelled documents.  A word is matched by
-the product of a Levenshtein automaton for one edit and the trie of terms: a state is
+Lexicon terms (stems of 5 to 8 letters, and whole words of 3 or 4) are learned from
+labelled documents.  Terms of 6 letters and more allow one edit, those of 5 letters
+against whole words only, shorter ones none.  A word is matched by the product of a Levenshtein automaton for one edit and the trie of terms: a state is
 the set of trie nodes reachable with the edits spent so far.  States are made once and
 memoised, so that most words leave the automaton after a few letters.  Hits are split
 by the window around them: quoted or reported mentions apart from direct use.  Boosted
@@ -28,37 +29,53 @@ _WORD = re.compile(r"\w+")
 _QUOTES = frozenset("\"'“”«»„‘’`")
 _REPORTING = frozenset("said says called quote quoted quotes word term wrote writes dit mot sagte wort dijo palabra".split())
 _STEMS = (5, 6, 7, 8)
+_SHORT = (3, 4)
+#: Marks the end of a word: a term that closes with it is matched by whole words alone.
+END = "$"
 
 
 class LexiconAutomaton:
-    """Trie of terms x Levenshtein automaton.  Accepts words with a prefix within one edit of a term."""
+    """Trie of terms x Levenshtein automaton.
+
+    Accepts words with a prefix within one edit of a term.  Terms one letter shorter than
+    ``fuzzy_from`` allow the edit to whole words only, still shorter ones and those that
+    close with ``END`` allow none; the latter are whole words.
+    """
 
     def __init__(self, terms: list[str], fuzzy_from: int = 6, max_states: int = 50_000):
         self.terms, self.max_states = terms, max_states
         self.children: list[dict[str, int]] = [{}]
         self.term_at: list[int] = [-1]
         self.depth: list[int] = [0]
+        edit_ends = []  # nodes where a match with one edit ends
         for i, term in enumerate(terms):
-            node = 0
-            for c in term:
-                if c not in self.children[node]:
-                    self.children[node][c] = len(self.children)
-                    self.children.append({})
-                    self.term_at.append(-1)
-                    self.depth.append(self.depth[node] + 1)
-                node = self.children[node][c]
-            self.term_at[node] = i
-        self.long = [False] * len(self.children)  # a term of at least fuzzy_from letters lies below
-        for i, term in enumerate(terms):
-            if len(term) >= fuzzy_from:
-                node = 0
-                for c in term:
-                    self.long[node] = True
-                    node = self.children[node][c]
+            self.term_at[node := self._insert(term)] = i
+            if len(term) >= fuzzy_from and not term.endswith(END):
+                edit_ends.append(node)
+            elif len(term) == fuzzy_from - 1 and not term.endswith(END):
+                self.term_at[node := self._insert(term + END)] = i
+                edit_ends.append(node)
+        self.edit_end = [False] * len(self.children)
+        self.long = [False] * len(self.children)  # the end of a term that allows an edit lies here or below
+        parent = {child: node for node, below in enumerate(self.children) for child in below.values()}
+        for node in edit_ends:
+            self.edit_end[node] = True
+            while node is not None and not self.long[node]:
                 self.long[node] = True
-        self.fuzzy_from = fuzzy_from
+                node = parent.get(node)
         self.reset()
 
+    def _insert(self, term: str) -> int:
+        node = 0
+        for c in term:
+            if c not in self.children[node]:
+                self.children[node][c] = len(self.children)
+                self.children.append({})
+                self.term_at.append(-1)
+                self.depth.append(self.depth[node] + 1)
+            node = self.children[node][c]
+        return node
+
     def reset(self) -> None:
         self.ids: dict[frozenset[tuple[int, int]], int] = {}
         self.sets: list[frozenset[tuple[int, int]]] = []
@@ -71,15 +88,15 @@ class LexiconAutomaton:
         while todo:  # a missing letter: step down the trie without reading
             node, edits = todo.pop()
             if edits == 0 and self.long[node]:
-                for child in self.children[node].values():
-                    if self.long[child] and (child, 1) not in pairs:
+                for c, child in self.children[node].items():
+                    if self.long[child] and c != END and (child, 1) not in pairs:
                         pairs.add((child, 1))
         key = frozenset((n, e) for n, e in pairs if e == 0 or (n, 0) not in pairs)
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            ends = [(e, self.term_at[n]) for n, e in key if self.term_at[n] >= 0 and (e == 0 or len(self.terms[self.term_at[n]]) >= self.fuzzy_from)]
+            ends = [(e, self.term_at[n]) for n, e in key if self.term_at[n] >= 0 and (e == 0 or self.edit_end[n])]
             self.accepts.append(min(ends, default=(9, -1)))
         return self.ids[key]
 
@@ -89,19 +106,19 @@ class LexiconAutomaton:
             child = self.children[node].get(c)
             if child is not None:
                 out.add((child, edits))
-            if edits == 0 and self.long[node]:
+            if edits == 0 and self.long[node] and c != END:
                 out.add((node, 1))  # an additional letter
-                out.update((x, 1) for x in self.children[node].values() if self.long[x])  # another letter
+                out.update((x, 1) for k, x in self.children[node].items() if self.long[x] and k != END)  # another letter
         to = self._state(out) if out else -1
         self.moves[state][c] = to
         return to
 
     def match(self, word: str) -> tuple[int, int]:
-        """(edits, term) of the best term that a prefix of the word is within one edit of; (9, -1) if none."""
+        """(edits, term) of the best term that the word or a prefix of it matches; (9, -1) if none."""
         if len(self.sets) > self.max_states:
             self.reset()
         state, best = self.start, (9, -1)
-        for c in word:
+        for c in word + END:
             to = self.moves[state].get(c)
             state = self._step(state, c) if to is None else to
             if state < 0:
@@ -173,6 +190,8 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in _STEMS:
                     if len(w) >= k:
                         stems[w[:k]] += n
+                if len(w) in _SHORT:
+                    stems[w + END] += n
             seen[y].update(stems.keys())
             total[y].update(stems)
         keys = list(seen[0].keys() | seen[1].keys())
@@ -191,7 +210,7 @@ def _hit_rows(terms: list[str]):
 
 
 def _pick_terms(pdf, n1: int, n0: int, w1: float, w0: float, most: int) -> list[str]:
-    """Stems that are over-represented in toxic documents, the shortest of nested ones that say the same."""
+    """Stems and short words that are over-represented in toxic documents, the shortest of nested ones that say the same."""
     pdf = pdf.assign(lift=((pdf.t1 + 0.5) / (w1 + 1)) / ((pdf.t0 + 0.5) / (w0 + 1)), gap=pdf.d1 / n1 - pdf.d0 / n0)
     good = pdf[(pdf.lift >= 6) & (pdf.d1 >= max(3, 0.002 * n1)) & (pdf.d1 / n1 >= 2 * pdf.d0 / n0)].sort_values(["gap", "stem"], ascending=[False, True])
     terms: list[str] = []
@@ -237,7 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, lexicon:
         if mine:
             df[label].update({(t, e) for t, e, _ in f})
     for key in df[0].keys() | df[1].keys():
-        model.weights[key] = float(np.clip(np.log(((df[1][key] + 0.5) / (n1 + 1)) / ((df[0][key] + 0.5) / (n0 + 1))), 0, 6))
+        # Matches that no toxic document has weigh nothing, however few documents are toxic.
+        model.weights[key] = 0.0 if not df[1][key] else float(np.clip(np.log(((df[1][key] + 0.5) / (n1 + 1)) / ((df[0][key] + 0.5) / (n0 + 1))), 0, 6))
     X = np.array([model.features(f, n) for f, n in zip(found, rows["words"], strict=True)])
     model.trees.fit(X[own], y[own])
     margin = model.trees.margin(X[~own])

@@ -75,6 +75,38 @@ def test_automaton_equals_edit_distance():
         assert a.match(w) == want
 
 
+def test_short_terms_match_whole_words():
+    r = random.Random(6)
+    terms = ["abcab", "cabca", "abcabc", "abc$", "bcba$"]
+    a = T.LexiconAutomaton(terms, max_states=40)
+    for _ in range(3000):
+        w = "".join(r.choice("abcd") for _ in range(r.randrange(1, 9)))
+        want = []
+        for i, t in enumerate(terms):
+            if t.endswith("$"):
+                want += [(0, i)] * (w == t[:-1])
+            elif len(t) == 5:
+                want += [(0, i)] * w.startswith(t) + [(1, i)] * (edits(w, t) <= 1)
+            else:
+                want += [(e, i) for k in range(1, len(w) + 1) if (e := edits(w[:k], t)) <= 1]
+        assert a.match(w) == min(want, default=(9, -1)), w
+
+
+def test_short_and_misspelt_words_are_learned(spark):
+    r = random.Random(7)
+    plain = "river lamp stone trust green winter table cloud drum scam".split()
+    # Every misspelling is too rare to be a term of its own.
+    bad = [lambda: "scum", lambda: "clown", lambda: "idiot", lambda: "c" + r.choice("bcdfghjkmnpqrstvwxz") + "own" if r.random() < 0.5 else "clo" + r.choice("abcdefghijklmnopqrstuvxyz") + "n"]
+    rows = [(i, " ".join(r.choices(plain, k=30) + ([bad[i // 8 % 4]()] if i % 8 == 0 else [])), int(i % 8 == 0)) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = T.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    table = T.HitTable(T.LexiconAutomaton(model.terms))
+    lift = {w: model.weights.get(table[w][::-1], 0.0) if table[w] else 0.0 for w in ["scum", "clown", "clawn", "scam", "drum", "scums"]}
+    assert all(lift[w] > 1 for w in ("scum", "clown", "clawn")) and lift["scam"] == lift["drum"] == lift["scums"] == 0, lift
+    scores = {r.doc_id: r.score for r in T.score_toxicity(spark.createDataFrame([(1, "you are scum"), (2, "you are a clawn"), (3, "the river and the table")], "doc_id long, text string"), model=model).collect()}
+    assert scores[1] >= 0.5 and scores[2] >= 0.5 and scores[3] < 0.5, scores
+
+
 def test_quotation_is_told_from_use():
     table = T.HitTable(T.LexiconAutomaton(["stupid"]))
     found, n = T.hits('You are stupid. He said stupid. The word "stupid" hurts a lot in every single way. Stupjd!', table)
