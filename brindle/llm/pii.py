@@ -3,14 +3,17 @@
 Generators propose spans with high recall; they may overlap each other.  Every
 candidate gets format features (digits, separators, checksums) and context features
 (what stands before and after).  Boosted trees learn from candidates of a bounded
-sample of documents, labelled by agreement with the base rules; Platt scaling and a
-precision target on the sample's other half set a threshold for each generator.
+sample of documents and from constructed examples of every generator, labelled by
+evidence of their own (``evident``), not by agreement with the base rules; Platt
+scaling and a precision target on the other half set a threshold for each generator.
 Base spans always stay; accepted candidates are added.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .trees import BoostedTrees, platt, sigmoid
@@ -84,8 +87,12 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 
 _X_NUMBER = re.compile(r"[+(]?(?<![0-9])[0-9][0-9\x20().\-/]{5,40}[0-9](?![0-9])")
 _X_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_X_IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
-_X_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}){1,6}")
+_X_IPV6 = re.compile(r"(?<![0-9A-Za-z_:])[0-9A-Fa-f]{0,4}+(?::{1,2}[0-9A-Fa-f]{1,4}+){1,7}+(?:::)?(?![0-9A-Za-z_]|:[0-9A-Fa-f:])")
+_AT_MARK, _DOT_MARK = r"(?i:\(at\)|\[at\])", r"(?i:\(dot\)|\[dot\])"
+_X_EMAIL = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}\x20?(?:@|{_AT_MARK})\x20?[A-Za-z0-9-]{{1,63}}(?:\x20?(?:\.|{_DOT_MARK})\x20?[A-Za-z0-9-]{{1,63}}){{1,6}}")
+#: The same without blanks around plain marks, so that a sentence behind an address is no part of it.
+_X_EMAIL_TIGHT = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}(?:@|\x20?{_AT_MARK}\x20?)[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20?{_DOT_MARK}\x20?)[A-Za-z0-9-]{{1,63}}){{1,6}}")
+_BREAK = re.compile(r"\.\x20|\x20\x20|\x20[-/]\x20")
 _AT = re.compile(r"@|\((?i:at)\)|\[(?i:at)\]")
 #: Words whose presence before a number or address is telling; fixed values.
 _CUES = ["tel", "phone", "call", "mobile", "fax", "mail", "contact", "card", "visa", "credit", "account", "iban", "ssn", "ip", "host", "server", "address", "id", "order", "version", "page", "isbn", "year"]
@@ -100,13 +107,21 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         for c in _X_EMAIL.finditer(text, low, min(len(text), m.end() + 200)):
             if c.start() <= m.start() < c.end():
                 out.append((c.start(), 4, c.end()))
+                tight = _X_EMAIL_TIGHT.search(text, c.start(), c.end())
+                if tight and tight.start() <= m.start() < tight.end() and tight.span() != c.span():
+                    out.append((tight.start(), 4, tight.end()))
                 done = c.end()
                 break
     if _DIGIT.search(text):
-        out += [(m.start(), 5, m.end()) for m in _X_NUMBER.finditer(text)]
+        for m in _X_NUMBER.finditer(text):
+            out.append((m.start(), 5, m.end()))
+            cuts = [(b.start() + m.start(), b.end() + m.start()) for b in _BREAK.finditer(m[0])]
+            for start, end in zip([m.start(), *(e for _, e in cuts)], [*(b for b, _ in cuts), m.end()], strict=True):
+                if cuts and end - start >= 7:
+                    out.append((start, 5, end))
         out += [(m.start(), 6, m.end()) for m in _X_IBAN.finditer(text)]
-        if text.count(":") > 2:
-            out += [(m.start(), 7, m.end()) for m in _X_IPV6.finditer(text)]
+        if text.count(":") > 1:
+            out += [(m.start(), 7, m.end()) for m in _X_IPV6.finditer(text) if "::" in m[0] or m[0].count(":") > 2]
     return out
 
 
@@ -116,6 +131,93 @@ def _iban(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s)) % 97 == 1
 
 
+def _ipv6(text: str) -> bool:
+    try:
+        address = ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return _DIGIT.search(text) is not None and int(address) > 1  # unspecified and loopback name nobody
+
+
+def _mail(text: str) -> bool:
+    """Whether the mail rule holds once marks in brackets are read as signs."""
+    plain = re.sub(rf"\x20?{_DOT_MARK}\x20?", ".", re.sub(rf"\x20?{_AT_MARK}\x20?", "@", text))
+    return list(_emails(plain)) == [(0, len(plain))]
+
+
+#: A blank that touches no mark in brackets.
+_BLANK = re.compile(r"(?<![)\]])\x20(?![(\[])")
+_SSN = re.compile(r"(?!000|666|9)[0-9]{3}([-\x20])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}")
+_SSN_CUE = re.compile(r"\b(?:ssn|social security)\b[^0-9]*$")
+_PHONE_CUE = re.compile(r"\b(?:tel|telephone|phone|call|mobile|cell|fax|contact)\b[^0-9]*$")
+
+
+def _local_phone(text: str, groups: list[str]) -> bool:
+    """Groups of a national number: neither a date nor an address of four small numbers."""
+    n = sum(map(len, groups))
+    if not 7 <= n <= 12 or not 2 <= len(groups) <= 5 or max(map(len, groups)) > 8 or text[:1] == "+":
+        return False
+    date = len(groups) == 3 and sorted(map(len, groups))[1] <= 2 and any(g[:2] in ("19", "20") and len(g) == 4 for g in groups)
+    return not date and not (len(groups) == 4 and text.count(".") == 3)
+
+
+def evident(text: str, span: tuple[int, int, int]) -> bool:
+    """Evidence in the candidate itself and the words before it; base matches play no part."""
+    start, kind, end = span
+    s = text[start:end]
+    if kind == 4:
+        return _mail(s)
+    if kind == 6:
+        return _iban(s)
+    if kind == 7:
+        return _ipv6(s)
+    groups = [g for g in re.split(r"[^0-9]+", s) if g]
+    digits = "".join(groups)
+    if s[:1] == "+":
+        return 9 <= len(digits) <= 15
+    before = text[max(0, start - 24) : start].lower()
+    card = 12 <= len(digits) <= 19 and luhn(digits) and not set(s) & set("()./")
+    return card or bool(_SSN.fullmatch(s) and _SSN_CUE.search(before)) or bool(_PHONE_CUE.search(before)) and _local_phone(s, groups)
+
+
+def _examples(n: int = 200) -> list[str]:
+    """Constructed texts with true and false candidates of every generator: none depends on the sample for its positives."""
+    r = random.Random(11)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    hexa = lambda: f"{r.randrange(1, 1 << 16):x}"
+    out = []
+    for i in range(n):
+        name, site = f"{r.choice(['ann', 'bob', 'kim.lee', 'j_ross'])}{i}", r.choice(["corp", "mail-site", "uni", "shop"])
+        at, dot = r.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), ("@", " (dot) "), ("@", ".")])
+        out.append(f"write to {name}{at}{site}{dot}{r.choice(['com', 'org', 'de'])} about it")
+        out.append(f"write to {name}{at}{site}{dot}{r.choice(['com', 'org', 'de'])}. {r.choice(['Please', 'Then', 'We'])} do so")
+        out.append(r.choice([f"mail {name}@{site}. {site.title()} is old", f"sold {i} @ {d(2)} . {d(2)} each", f"{name}@{site} . The end"]))
+        phone = r.choice(["({}) {}-{}", "{}-{}-{}", "{} {} {}", "0{}/{}{}", "{}.{}.{}"]).format(d(3), d(3), d(4))
+        cue = r.choice(["call", "tel:", "phone", "my mobile is", "fax no.", "contact"])
+        out.append(f"{cue} {phone} today")
+        out.append(f"{r.choice(['order', 'pages', 'sum', 'part no', 'version', 'invoice'])} {phone} today")
+        ssn = f"{r.randrange(100, 660)}-{r.randrange(10, 100)}-{r.randrange(1000, 10000)}"
+        out.append(f"{r.choice(['SSN', 'ssn:', 'social security number'])} {ssn} on file")
+        out.append(f"{r.choice(['order', 'part', 'id', 'lot'])} {ssn} on file")
+        out.append(f"{cue} {r.choice(['12.05.2019', '2020-11-03', '10.0.0.255', '1999/12/31'])} then")
+        for _ in range(3):
+            word = lambda: r.choice(["host", "from", "ping", "server", "device", "see", "at", "the"])
+            group = lambda: hexa()[: r.randrange(1, 5)] if r.random() < 0.6 else d(r.randrange(1, 5))
+            m = r.randrange(2, 7)
+            short = [group() for _ in range(m)]
+            gap = r.randrange(1, m)
+            out.append(f"{word()} " + r.choice([":".join(group() for _ in range(8)), f"{':'.join(short[:gap])}::{':'.join(short[gap:])}"]) + " is up")
+            twice = f"{group()}::{group()}::{group()}"
+            out.append(f"{word()} " + r.choice([":".join(f"{r.randrange(256):02x}" for _ in range(6)), ":".join(d(2) for _ in range(4)), ":".join(group() for _ in range(r.randrange(4, 8))), twice, "::1", "cafe::bead", "add::face:bed"]) + " is up")
+        bank, account = r.choice(["DE", "FR", "GB"]), d(18)
+        check = 98 - int(account + "".join(str(int(c, 36)) for c in bank) + "00") % 97
+        out.append(f"iban {bank}{check:02d}{account} please")
+        out.append(f"code {bank}{(check + 1 + r.randrange(90)) % 100:02d}{account} please")
+        card = d(15)
+        out.append(f"card {card}{next(c for c in '0123456789' if luhn(card + c))} or serial {card}{next(c for c in '0123456789' if not luhn(card + c))} here")
+    return out
+
+
 def features(text: str, span: tuple[int, int, int]) -> list[float]:
     start, kind, end = span
     s = text[start:end]
@@ -126,6 +228,7 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
     cue = [before.rfind(w) for w in _CUES]
     place = max(cue)
     prev, nxt = before[-1:], after[:1]
+    parts, marks = s.split(":"), s.count("[") + s.count("(") if kind == 4 else 0
     return [
         float(kind == 4), float(kind == 5), float(kind == 6), float(kind == 7),
         len(s), len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
@@ -133,18 +236,16 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
         float(12 <= len(digits) <= 19 and luhn(digits)), float(kind == 6 and _iban(s)), float(len(groups) == 4 and all(map(_small, groups)) and s.count(".") == 3),
         float(9 <= len(digits) <= 15), float(place >= 0), float(cue.index(place) if place >= 0 else -1), float(len(before) - place if place >= 0 else 99),
         float(prev.isalnum()), float(nxt.isalnum()), float(prev in ":=#"), float(prev in "\"'([<"), float(len(set(digits))),
+        s.count(":"), s.count("::"), min(map(len, parts)), max(map(len, parts)), marks, len(_BLANK.findall(s)), float(s.rpartition(".")[2].isalpha()), float(kind == 5 and _SSN.fullmatch(s) is not None), float(_SSN_CUE.search(before) is not None),
+        float(kind == 5 and _local_phone(s, groups)), float(_PHONE_CUE.search(before) is not None),
     ]
 
 
-def _overlaps(span: tuple[int, int, int], others: list[tuple[int, int, int]]) -> bool:
-    return any(s < span[2] and span[0] < e for s, _, e in others)
-
-
 @dataclass
 class PiiModel:
     """Trees, calibration and one threshold per generator kind (above 1: nothing is accepted)."""
 
-    trees: BoostedTrees = field(default_factory=BoostedTrees)
+    trees: BoostedTrees = field(default_factory=lambda: BoostedTrees(rare=True))
     slope: float = 1.0
     offset: float = 0.0
     thresholds: dict[int, float] = field(default_factory=dict)
@@ -156,15 +257,13 @@ class PiiModel:
         return [s for s, q in zip(spans, p, strict=True) if q >= self.thresholds.get(s[1], 2.0)]
 
 
+def _labelled(doc: object, text: str) -> list[tuple[str, int, int, list[float]]]:
+    return [(hashlib.blake2b(f"{doc}:{c}".encode(), digest_size=7).hexdigest(), c[1], int(evident(text, c)), features(text, c)) for c in candidates(text)]
+
+
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            kept, dropped = base_spans(text)
-            for c in candidates(text):
-                good = _overlaps(c, kept) or c[1] == 6 and _iban(text[c[0] : c[2]])
-                if good or c[1] in (4, 7) or _overlaps(c, dropped):
-                    rows.append((hashlib.blake2b(f"{doc}:{c}".encode(), digest_size=7).hexdigest(), c[1], int(good), features(text, c)))
+        rows = [row for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for row in _labelled(doc, text)]
         h, k, y, x = zip(*rows, strict=True) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(k, pa.int32()), pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["h", "kind", "label", "x"])
 
@@ -177,12 +276,14 @@ def sample_by_id(docs: DataFrame, rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample_docs: int = 4000, sample_candidates: int = 20_000, precision: float = 0.95) -> PiiModel:
-    """Model from at most ``sample_candidates`` candidates of about ``sample_docs`` documents."""
+    """Model from constructed examples and at most ``sample_candidates`` candidates, in equal
+    shares for the generators, of about ``sample_docs`` documents."""
     rows = sample_by_id(docs, sample_docs).mapInArrow(_training_rows, "h string, kind int, label int, x array<double>")
-    data = rows.orderBy("h", "kind", "label").limit(sample_candidates).toPandas()
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("h", "label"))
+    drawn = rows.withColumn("place", place).where(F.col("place") <= sample_candidates // 4).drop("place").toPandas()
+    own = pd.DataFrame([row for i, text in enumerate(_examples()) for row in _labelled(f"example {i}", text)], columns=["h", "kind", "label", "x"])
+    data = pd.concat([drawn, own], ignore_index=True).sort_values(["h", "kind", "label"], kind="stable")
     model = PiiModel()
-    if len(data) < 20 or data["label"].nunique() < 2:
-        return model
     X, y, kind = np.array(data["x"].tolist()), data["label"].to_numpy(), data["kind"].to_numpy()
     held = np.arange(len(y)) % 2 == 1
     model.trees.fit(X[~held], y[~held])

@@ -10,9 +10,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class BoostedTrees:
-    """Binary classifier: regression trees on binned features, fitted to logistic loss."""
+    """Binary classifier: regression trees on binned features, fitted to logistic loss.
 
-    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 1.0):
+    Bins are quantiles, so a mark that few rows bear has no bin of its own; with ``rare``
+    every value of a feature that has at most ``bins`` values gets one.
+    """
+
+    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 1.0, rare: bool = False):
+        self.rare = rare
         self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
         self.edges: list[np.ndarray] = []
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -23,7 +28,7 @@ class BoostedTrees:
 
     def fit(self, X: np.ndarray, y: np.ndarray) -> BoostedTrees:
         X, y = np.asarray(X, np.float64), np.asarray(y, np.float64)
-        self.edges = [np.unique(np.quantile(X[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) if len(X) else np.zeros(0) for j in range(X.shape[1])]
+        self.edges = [self._cuts(X[:, j]) if len(X) else np.zeros(0) for j in range(X.shape[1])]
         self.trees = []
         mean = (y.sum() + 0.5) / (len(y) + 1.0)
         self.bias = float(np.log(mean / (1 - mean)))
@@ -38,6 +43,11 @@ class BoostedTrees:
             score += self._walk(B, tree)
         return self
 
+    def _cuts(self, x: np.ndarray) -> np.ndarray:
+        if self.rare and len(values := np.unique(x)) <= self.bins:
+            return values[1:]
+        return np.unique(np.quantile(x, np.linspace(0, 1, self.bins + 1)[1:-1]))
+
     def _grow(self, B: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A complete tree of ``depth`` levels: feature and bin of inner nodes, values of leaves."""
         inner = (1 << self.depth) - 1

@@ -77,6 +77,29 @@ def test_pii_model_learns_and_adds(spark):
     assert pii.redact(text, "email:5:17") == "mail [email] now"
 
 
+PLANTED = [
+    ("host 2001:db8:85a3::8a2e:370:7334 answered", "x_ipv6", "2001:db8:85a3::8a2e:370:7334"),
+    ("from 2001:db8::17: refused", "x_ipv6", "2001:db8::17"),
+    ("ping fe80:0:0:0:1:2:3:4b then", "x_ipv6", "fe80:0:0:0:1:2:3:4b"),
+    ("ask jo.day (at) corp7 (dot) com. Please do", "x_email", "jo.day (at) corp7 (dot) com"),
+    ("ask eve[AT]mail-site[dot]org now", "x_email", "eve[AT]mail-site[dot]org"),
+    ("please call (555) 010-1234. 17 came", "x_number", "(555) 010-1234"),
+    ("tel: 020 7946 0958 at noon", "x_number", "020 7946 0958"),
+    ("her SSN: 219-09-9999 was lost", "x_number", "219-09-9999"),
+]
+CLEAN = ["device 00:1a:2b:3c:4d:5e", "at 12:30:45:10 sharp", "std::cout and face::add", "order 555-010-1234 shipped", "lot 219-09-9999 sold", "call 12.05.2019 back", "pages 12 34 56 78"]
+
+
+@pytest.mark.parametrize("others", [[], ["mail ann@site.org or card 4111 1111 1111 1111 or +1 555 010 1234, 12 345 678 9"]])
+def test_pii_beyond_base_is_found(spark, others):
+    texts = [t for t, *_ in PLANTED] + CLEAN + others * 300
+    found = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (text, kind, part) in enumerate(PLANTED):
+        at = text.index(part)
+        assert f"{kind}:{at}:{at + len(part)}" in found[i].spans.split(","), (text, found[i].spans)
+    assert [t for i, t in enumerate(CLEAN, len(PLANTED)) if found[i].n_more] == []
+
+
 def test_pii_odd_rows(odd_docs, no_docs):
     rows = pii.find_pii(odd_docs).collect()
     assert len(rows) == 11 and all(r.spans == "" for r in rows if r.doc_id in (2, 3, 4))
