@@ -47,8 +47,8 @@ def _prefix_sums(values: Column, block: int = 128) -> Column:
     return F.flatten(F.transform(pairs, lambda p: F.transform(_scan(p["b"]), lambda v: v + p["s"])))
 
 
-def _spans(text: Column, pattern: str, group: int, least: int, k: int) -> Column:
-    """Leftmost non-overlapping matches as spans in code points; too short ones are dropped afterwards."""
+def _spans(text: Column, pattern: str, group: int, least: int, k: int, below: int = 1 << 30) -> Column:
+    """Leftmost non-overlapping matches as spans in code points; those outside ``least <= length < below`` are dropped afterwards."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
@@ -58,7 +58,7 @@ def _spans(text: Column, pattern: str, group: int, least: int, k: int) -> Column
         lengths = F.zip_with(F.slice(g, 1, F.size(w)), w, lambda gap, m: F.length(gap) + F.length(m))
         before = _prefix_sums(lengths)
         rows = F.arrays_zip(before.alias("b"), g.alias("g"), w.alias("w"), v.alias("v"))
-        kept = F.filter(rows, lambda r: r["w"].isNotNull() & (F.length(r["v"]) >= least))
+        kept = F.filter(rows, lambda r: r["w"].isNotNull() & (F.length(r["v"]) >= least) & (F.length(r["v"]) < below))
         return F.transform(kept, lambda r: F.struct((r["b"] + F.length(r["g"])).alias("start"), F.lit(k).alias("k"), (r["b"] + F.length(r["g"]) + F.length(r["w"])).alias("end")))
 
     # Held in a one-element array, so that each regular expression runs once a text.
@@ -87,7 +87,10 @@ def scan_secrets(docs: DataFrame, scope: int = 400, id_col: str = "doc_id", text
         F.length("text").alias("n"),
         *[_spans(text, p, g, least, k).alias(kind) for k, (kind, p, g, least) in enumerate(BASE)],
         *[_spans(text, p, g, least, k).alias(f"weak_{role}") for k, (role, p, g, least) in enumerate(WEAK)],
+        _spans(text, *BASE[0][1:3], 1, 1, BASE[0][3]).alias("short"),
     )
+    # Assigned values too short for the base are weak secrets; the pattern is the base's, so the two never overlap.
+    found = found.withColumn("weak_secret", F.concat("weak_secret", "short")).drop("short")
     found = stage(found, "secrets-found")
     linked = _link(found, scope)
     on = found["doc_id"].eqNullSafe(linked["l_doc_id"]) & (found["h"] == linked["l_h"]) & (found["n"] == linked["l_n"])
@@ -121,7 +124,7 @@ def _link(found: DataFrame, scope: int) -> DataFrame:
         mine = F.col("role") == role
         gap_before = F.col("start") - F.max(F.when(mine, F.col("end"))).over(up)
         gap_after = F.min(F.when(mine, F.col("start"))).over(down) - F.col("end")
-        near[role] = F.least(F.coalesce(F.greatest(gap_before, F.lit(0)), F.lit(scope + 1)), F.coalesce(F.greatest(gap_after, F.lit(0)), F.lit(scope + 1)))
+        near[role] = F.greatest(F.least(*[F.coalesce(gap, F.lit(scope + 1)) for gap in (gap_before, gap_after)]), F.lit(0))
     swept = parts.select(*key, "start", "end", "role", "weak", *[c.alias(f"near_{r}") for r, c in near.items()])
     complete = F.when(F.col("role") == "id", F.col("near_secret") <= scope).when(F.col("role") == "secret", (F.col("near_id") <= scope) | (F.col("near_endpoint") <= scope)).otherwise(False)
     span = F.struct(F.col("start"), F.when(F.col("role") == "id", 3).otherwise(4).alias("k"), F.col("end"))

@@ -150,6 +150,12 @@ def test_weak_parts_need_a_complement(spark):
     assert next(s for d, _, s in got if d == 1).startswith("weak_id:0:16,weak_secret:26:")
 
 
+def test_short_assigned_values_link(spark):
+    rows = [(1, "user=root password: hunter2 postgres://db.example.org"), (2, "password: hunter2 alone"), (3, "password=abc https://db.example.org/x"), (4, "user=root password=abcdefghijkl")]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "weak_id:0:9,weak_secret:10:27", 2: "", 3: "weak_secret:0:12", 4: "weak_id:0:9,assign:10:31"}
+
+
 def test_secrets_stay_native(small_docs):
     plan = secrets.scan_secrets(small_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
