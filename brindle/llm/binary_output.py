@@ -1,36 +1,43 @@
 """Token ids as compressed binary blocks: static range asymmetric numeral system (rANS).
 
-One frequency table, counted over all ids, serves every block.  A block holds whole
-documents; its ids are dealt round-robin to interleaved lanes, which numpy advances
-together.  Blocks carry the lanes' states at checkpoints, so any stretch can be
-decoded on its own, and checksums of their bytes and of their ids.
+One frequency table, counted over all ids, serves every block and is written beside
+them.  A block holds whole documents; its ids are dealt round-robin to interleaved
+lanes, which numpy advances together.  Blocks carry the lanes' states at checkpoints:
+any stretch can be decoded on its own, and a whole block is decoded from all its
+checkpoints at once.  Checksums cover a block's bytes, its ids and the table.
 
-Block layout, little-endian: magic ``BRA1``; crc32 of all that follows it; then
+A folder of token files has three Parquet tables: ``blocks`` (part, block), ``table``
+(symbol, freq, vocabulary) and ``parts`` (part, n_tokens).
+
+Block layout, little-endian: magic ``BRA2``; crc32 of all that follows it; then
 u32 lanes, steps, checkpoint distance, checkpoints, words, ids crc32, table crc32,
-documents; u64 tokens; i64 document ids; i64 document lengths; per checkpoint u64
-first word and u64 states; u32 words.
+documents; u64 tokens, u64 tokens of the part before the block; i64 document ids; u8
+whether each id is null; i64 document lengths; per checkpoint u64 first word and u64
+states; u32 words.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shards, stage
-from .packing import _STAGED, _slices, part_offsets, tokenized
-from .tokens import encoder
+from .common import scratch_dir, shards, stage
+from .packing import _slices
+from .tokens import END_ID, encoder
 
 SCALE = 20  # frequencies sum to 2**SCALE
 _LOW = np.uint64(1 << 31)
-_MAGIC = b"BRA1"
-_HEAD = struct.Struct("<8IQ")
+_MAGIC = b"BRA2"
+_HEAD = struct.Struct("<8I2Q")
 
 
 class FrequencyTable:
@@ -54,6 +61,18 @@ class FrequencyTable:
             freq[big] -= take
             over -= int(take.sum())
         freq[int(np.argmax(freq))] -= over
+        self._set(freq)
+
+    @classmethod
+    def of(cls, freq: np.ndarray) -> FrequencyTable:
+        """A table as it was written."""
+        if int(freq.sum()) != 1 << SCALE:
+            raise ValueError("damaged frequency table")
+        out = cls.__new__(cls)
+        out._set(np.asarray(freq, np.int64))
+        return out
+
+    def _set(self, freq: np.ndarray) -> None:
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
         self.crc = zlib.crc32(freq.astype("<u4").tobytes())
@@ -71,18 +90,20 @@ class FrequencyTable:
 @dataclass
 class Block:
     doc_ids: np.ndarray
+    nulls: np.ndarray
     lengths: np.ndarray
     lanes: int
     steps: int
     every: int
     tokens: int
+    before: int  # tokens of the part before the block
     ids_crc: int
     firsts: np.ndarray  # first word of each checkpoint
     states: np.ndarray  # checkpoints x lanes
     words: np.ndarray
 
 
-def encode_block(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, table: FrequencyTable, lanes: int = 2048, every: int = 128) -> bytes:
+def encode_block(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, table: FrequencyTable, lanes: int = 1024, every: int = 128, nulls: np.ndarray | None = None, before: int = 0) -> bytes:
     n = len(ids)
     lanes = max(1, min(lanes, n // 64))
     steps = -(-n // lanes)
@@ -107,8 +128,9 @@ def encode_block(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, tabl
             marks.append((written, x.copy()))
     words = np.concatenate(emitted[::-1]) if emitted else np.zeros(0, "<u4")
     marks.reverse()
-    head = _HEAD.pack(lanes, steps, every, len(marks), len(words), zlib.crc32(np.asarray(ids, "<u4").tobytes()), table.crc, len(doc_ids), n)
-    body = b"".join([head, np.asarray(doc_ids, "<i8").tobytes(), np.asarray(lengths, "<i8").tobytes(), *(struct.pack("<Q", len(words) - w) + s.astype("<u8").tobytes() for w, s in marks), words.tobytes()])
+    nulls = np.zeros(len(doc_ids), np.uint8) if nulls is None else np.asarray(nulls, np.uint8)
+    head = _HEAD.pack(lanes, steps, every, len(marks), len(words), zlib.crc32(np.asarray(ids, "<u4").tobytes()), table.crc, len(doc_ids), n, before)
+    body = b"".join([head, np.asarray(doc_ids, "<i8").tobytes(), nulls.tobytes(), np.asarray(lengths, "<i8").tobytes(), *(struct.pack("<Q", len(words) - w) + s.astype("<u8").tobytes() for w, s in marks), words.tobytes()])
     return _MAGIC + struct.pack("<I", zlib.crc32(body)) + body
 
 
@@ -116,39 +138,47 @@ def read_block(raw: bytes, table: FrequencyTable) -> Block:
     """The parts of a block; raises ValueError for damage or another table."""
     if raw[:4] != _MAGIC or struct.unpack_from("<I", raw, 4)[0] != zlib.crc32(memoryview(raw)[8:]):
         raise ValueError("damaged block")
-    lanes, steps, every, marks, words, ids_crc, table_crc, n_docs, n = _HEAD.unpack_from(raw, 8)
+    lanes, steps, every, marks, words, ids_crc, table_crc, n_docs, n, before = _HEAD.unpack_from(raw, 8)
     if table_crc != table.crc:
         raise ValueError("block was written with another frequency table")
     at = 8 + _HEAD.size
     doc_ids = np.frombuffer(raw, "<i8", n_docs, at)
-    lengths = np.frombuffer(raw, "<i8", n_docs, at + 8 * n_docs)
-    at += 16 * n_docs
+    nulls = np.frombuffer(raw, np.uint8, n_docs, at + 8 * n_docs).astype(bool)
+    lengths = np.frombuffer(raw, "<i8", n_docs, at + 9 * n_docs)
+    at += 17 * n_docs
     points = np.frombuffer(raw, "<u8", marks * (lanes + 1), at).reshape(marks, lanes + 1)
-    return Block(doc_ids, lengths, lanes, steps, every, n, ids_crc, points[:, 0].astype(np.int64), points[:, 1:], np.frombuffer(raw, "<u4", words, at + points.nbytes))
-
-
-def decode_segment(block: Block, table: FrequencyTable, k: int) -> np.ndarray:
-    """Ids from checkpoint ``k`` to the next, padding included."""
-    x, at = block.states[k].astype(np.uint64), int(block.firsts[k])
-    first = k * block.every
-    out = np.empty((min(block.every, block.steps - first), block.lanes), np.uint32)
-    mask = np.uint64((1 << SCALE) - 1)
-    for i in range(len(out)):
+    return Block(doc_ids, nulls, lengths, lanes, steps, every, n, before, ids_crc, points[:, 0].astype(np.int64), points[:, 1:], np.frombuffer(raw, "<u4", words, at + points.nbytes))
+
+
+def decode_stretches(block: Block, table: FrequencyTable, first: int, stop: int) -> np.ndarray:
+    """Ids from checkpoint ``first`` to checkpoint ``stop``, padding included; all stretches advance together."""
+    if first >= stop:
+        return np.zeros(0, np.uint32)
+    x = block.states[first:stop].astype(np.uint64)
+    at = block.firsts[first:stop].copy()
+    count = np.minimum(block.every, block.steps - np.arange(first, stop) * block.every)  # only the last stretch is shorter
+    out = np.empty((stop - first, block.every, block.lanes), np.uint32)
+    mask, scale, half = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
+    for i in range(int(count.max())):
+        if i == count[-1] and i < count[0]:
+            x, at = x[:-1], at[:-1]
+        k = len(x)
         slot = x & mask
         s = table.slots[slot.astype(np.int64)]
-        out[i] = s
-        x = table.freq[s] * (x >> np.uint64(SCALE)) + slot - table.start[s]
+        out[:k, i] = s
+        x = table.freq[s] * (x >> scale) + slot - table.start[s]
         need = x < _LOW
-        m = int(np.count_nonzero(need))
-        if m:
-            x[need] = (x[need] << np.uint64(32)) | block.words[at : at + m].astype(np.uint64)
-            at += m
-    return out.reshape(-1)
+        taken = need.sum(1)
+        if taken.any():
+            rows, lanes = np.nonzero(need)
+            place = np.arange(len(rows)) - np.repeat(np.cumsum(taken) - taken, taken) + at[rows]
+            x[rows, lanes] = (x[rows, lanes] << half) | block.words[place].astype(np.uint64)
+            at = at + taken
+    return out.reshape(-1)[: int(count.sum()) * block.lanes]
 
 
 def decode_block(block: Block, table: FrequencyTable) -> np.ndarray:
-    parts = [decode_segment(block, table, k) for k in range(len(block.firsts))]
-    ids = np.concatenate(parts)[: block.tokens] if parts else np.zeros(0, np.uint32)
+    ids = decode_stretches(block, table, 0, len(block.firsts))[: block.tokens]
     if zlib.crc32(ids.astype("<u4").tobytes()) != block.ids_crc:
         raise ValueError("ids don't match their checksum")
     return ids
@@ -157,9 +187,21 @@ def decode_block(block: Block, table: FrequencyTable) -> np.ndarray:
 def decode_range(block: Block, table: FrequencyTable, start: int, stop: int) -> np.ndarray:
     """Ids [start, stop) from the checkpoints that cover them alone."""
     span = block.every * block.lanes
-    first, last = start // span, -(-stop // span)
-    parts = [decode_segment(block, table, k) for k in range(first, min(last, len(block.firsts)))]
-    return np.concatenate(parts)[start - first * span : min(stop, block.tokens) - first * span] if parts else np.zeros(0, np.uint32)
+    first, last = start // span, min(-(-stop // span), len(block.firsts))
+    return decode_stretches(block, table, first, last)[start - first * span : min(stop, block.tokens) - first * span]
+
+
+def _tokenized(path: str, mode: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, mode)
+        end = np.array([END_ID], enc.dtype).tobytes()
+        for whole in batches:
+            for b in _slices(whole):
+                ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
+                n = np.fromiter((len(x) // enc.width for x in ids), np.int64, len(ids))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+    return run
 
 
 def _histogram(width: int, vocabulary: int):
@@ -175,81 +217,97 @@ def _histogram(width: int, vocabulary: int):
 
 
 def _encode(width: int, table: FrequencyTable, block_tokens: int):
+    """Rows in order; a block knows how many tokens of its part stand before it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq0, docs, lens, raws, size = None, 0, [], [], [], 0
+        part, before = TaskContext.get().partitionId(), 0
+        docs: list[int | None] = []
+        lens: list[int] = []
+        raws: list[bytes] = []
+        size = 0
 
         def block() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(raws), f"<u{width}").astype(np.int64)
-            raw = encode_block(ids, np.array(docs), np.array(lens), table)
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((part, pa.int32()), (seq0, pa.int64()), (docs[0], pa.int64()), (len(ids), pa.int64()), (raw, pa.binary()))], ["part", "seq0", "first_doc_id", "n_tokens", "block"])
+            raw = encode_block(ids, np.array([d or 0 for d in docs]), np.array(lens), table, nulls=np.array([d is None for d in docs]), before=before)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([raw], pa.binary())], ["part", "n_tokens", "block"])
 
         for b in batches:
-            for p, s, d, n, raw in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "doc_id", "n_tokens", "ids")), strict=True):
-                if docs and (p != part or s != seq0 + len(docs) or size >= block_tokens):
-                    yield block()
-                    docs, lens, raws, size = [], [], [], 0
-                if not docs:
-                    part, seq0 = p, s
-                docs.append(d)
-                lens.append(n)
-                raws.append(raw)
-                size += n
+            for part_of in _slices(b):
+                for d, n, raw in zip(*(part_of.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids")), strict=True):
+                    docs.append(d)
+                    lens.append(n)
+                    raws.append(raw)
+                    size += n
+                    if size >= block_tokens:
+                        yield block()
+                        before += size
+                        docs, lens, raws, size = [], [], [], 0
         if docs:
             yield block()
 
     return run
 
 
-def _decode(table: FrequencyTable):
+def _decode(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bases = sent.value
         for b in batches:
-            for part, seq0, raw in zip(*(b.column(c).to_pylist() for c in ("part", "seq0", "block")), strict=True):
+            for part, raw in zip(b.column("part").to_pylist(), b.column("block").to_pylist(), strict=True):
                 block = read_block(raw, table)
                 ids = memoryview(decode_block(block, table).astype("<u4").tobytes())
                 ends = np.cumsum(block.lengths)
                 crc = [zlib.crc32(ids[4 * int(e - n) : 4 * int(e)]) for e, n in zip(ends, block.lengths, strict=True)]
-                k = len(crc)
-                columns = [np.full(k, part, np.int32), np.full(k, seq0), block.doc_ids, ends - block.lengths, block.lengths, np.array(crc, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "seq0", "doc_id", "within", "n_tokens", "ids_crc32"])
+                columns = [pa.array(block.doc_ids, mask=block.nulls), *map(pa.array, (bases[part] + block.before + ends - block.lengths, block.lengths, np.array(crc, np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
 
-@dataclass
-class TokenFiles:
-    """Written blocks (a table of scratch files in ascending doc_id order) and their frequency table."""
-
-    blocks: DataFrame
-    table: FrequencyTable
-
+def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str = "byte_bpe_50k.json", mode: str = "space", block_tokens: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Tokenize whole texts, count ids, and write rANS blocks in ascending doc_id order; returns their folder.
 
-def write_token_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", mode: str = "space", block_tokens: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
-    """Tokenize whole texts, count ids, and write rANS blocks in ascending doc_id order.
-
-    A null text counts as empty, so a document has its end id at least.  Rows with a
-    null id have no place in the order and are left out; rows with equal ids stand in
-    the order of their texts.  Extra columns are not read.
+    Without ``path`` a folder of the shared scratch space is made.  Texts are tokenized
+    where they lie, and only ids are sorted.  A null text counts as empty, so a document
+    has its end id at least.  Rows with a null id come first; rows with equal ids stand in
+    the order of a hash of their token ids.  An empty table makes files without documents.
+    Extra columns are not read.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    ordered = base.repartitionByRange(shards(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    staged = stage(ordered.mapInArrow(tokenized(tokenizer, mode), _STAGED), "token-ids")
+    path = (path or f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}").rstrip("/")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    staged = stage(base.mapInArrow(_tokenized(tokenizer, mode), "doc_id long, n_tokens long, ids binary"), "token-ids")
     enc = encoder(tokenizer, mode)
     counts = np.zeros(enc.vocabulary, np.int64)
     for r in staged.select("ids").mapInArrow(_histogram(enc.width, enc.vocabulary), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         counts[r["symbol"]] = r["n"]  # a row for each id of the vocabulary at most
     table = FrequencyTable(counts)
-    blocks = staged.mapInArrow(_encode(enc.width, table, block_tokens), "part int, seq0 long, first_doc_id long, n_tokens long, block binary")
-    return TokenFiles(stage(blocks, "token-blocks"), table)
-
-
-def read_token_files(files: TokenFiles) -> DataFrame:
+    some = np.flatnonzero(table.freq)
+    rows = [(int(k), int(table.freq[k]), len(table.freq)) for k in some]
+    spark.createDataFrame(rows, "symbol long, freq long, vocabulary long").coalesce(1).write.parquet(f"{path}/table")
+    # The hash lets a range boundary fall between rows of one id.
+    order = ["doc_id", F.xxhash64("ids")]
+    ordered = staged.repartitionByRange(shards(spark), *order).sortWithinPartitions(*order, "ids")
+    ordered.mapInArrow(_encode(enc.width, table, block_tokens), "part int, n_tokens long, block binary").write.parquet(f"{path}/blocks")
+    blocks = spark.read.schema("part int, n_tokens long").parquet(f"{path}/blocks")
+    blocks.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.parquet(f"{path}/parts")
+    return path
+
+
+def read_table(spark: SparkSession, path: str) -> FrequencyTable:
+    """The frequency table of a folder of token files: one row for each id in use."""
+    rows = spark.read.schema("symbol long, freq long, vocabulary long").parquet(f"{path}/table").collect()
+    freq = np.zeros(max((r["vocabulary"] for r in rows), default=1), np.int64)
+    for r in rows:
+        freq[r["symbol"]] = r["freq"]
+    return FrequencyTable.of(freq)
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32."""
-    meta = files.blocks.select("part", "seq0", "n_tokens")
-    spark = meta.sparkSession
-    bases = part_offsets(meta)
-    before = spark.createDataFrame(list(bases.items()) or [(0, 0)], "part int, base long")
-    earlier = Window.partitionBy("part").orderBy("seq0").rowsBetween(Window.unboundedPreceding, -1)
-    starts = meta.withColumn("inside", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))).join(before, "part").select("part", "seq0", (F.col("base") + F.col("inside")).alias("block_start"))
-    rows = files.blocks.select("part", "seq0", "block").mapInArrow(_decode(files.table), "part int, seq0 long, doc_id long, within long, n_tokens long, ids_crc32 long")
-    return rows.join(starts, ["part", "seq0"]).select("doc_id", (F.col("block_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    table, bases, total = read_table(spark, path), {}, 0
+    for r in spark.read.schema("part int, n_tokens long").parquet(f"{path}/parts").orderBy("part").collect():  # a row a part
+        bases[r["part"]] = total
+        total += r["n_tokens"]
+    sent = spark.sparkContext.broadcast((table, bases))  # a vocabulary and a number a part
+    blocks = spark.read.schema("part int, block binary").parquet(f"{path}/blocks")
+    return blocks.mapInArrow(_decode(sent), "doc_id long, start long, n_tokens long, ids_crc32 long")

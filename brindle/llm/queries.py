@@ -66,7 +66,7 @@ def op9_exact_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .binary_output import read_token_files, write_token_files
 
-    return read_token_files(write_token_files(documents(spark, sf_dir)))
+    return read_token_files(spark, write_token_files(documents(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (

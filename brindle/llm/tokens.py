@@ -12,13 +12,13 @@ cuts in any case:
 
 Words of plain Latin letters are one pre-token each, so they go to the library's model
 alone, past its normalizer and pre-tokenizer, whose work on single letters is tabled.
+A text that holds a special token's own spelling goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +31,8 @@ _EDGE = re.compile(r"^\s|\s$|[\x1c-\x1f]")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = {"space": re.compile(rf"\x00?[{_LETTERS}]+\Z"), "drop": re.compile(rf"[{_LETTERS}]+\Z")}
 _MARKED = re.compile(r"(\n?)(\x00?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)\Z|(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)\Z")
+#: A comma or stop that is not between a plain letter or digit and white space.
+_TIGHT = re.compile(rf"[,.](?:(?<![0-9{_LETTERS}][,.])|(?!\s|\Z))")
 #: White space for Python alone.
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 
@@ -47,16 +49,19 @@ def tokenizer_path(name_or_path: str) -> str:
 class PieceEncoder:
     """Ids of whole texts as little-endian bytes; ``width`` bytes an id (2 if the vocabulary allows)."""
 
-    def __init__(self, path: str, mode: str, generation: int = 300_000):
+    def __init__(self, path: str, mode: str, generation: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_path(path))
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder().values()
+        # Marks that the library looks for before anything else; one that is sought in normalized text is met in any case.
+        marks = sorted({t.content for t in added if t.content}, key=lambda c: (-len(c), c))
+        self.special = re.compile("|".join(map(re.escape, marks)), re.I) if marks else None
         self.vocabulary = self.tok.get_vocab_size(with_added_tokens=True)
         self.width = 2 if self.vocabulary <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.code = "H" if self.width == 2 else "I"
+        self.id_bytes = [i.to_bytes(self.width, "little") for i in range(self.vocabulary)]
         self.mode, self.generation = mode, generation
         self.plain = self._letter_table()
         self.young: dict[str, bytes | None] = {}
@@ -80,58 +85,72 @@ class PieceEncoder:
         return table if ok else None
 
     def _model(self, word: str, table: dict[int, str]) -> bytes:
-        return array(self.code, [t.id for t in self.tok.model.tokenize(word.translate(table))]).tobytes()
+        return b"".join([self.id_bytes[t.id] for t in self.tok.model.tokenize(word.translate(table))])
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
         """Ids of pieces that the young generation lacks."""
-        fresh, made = set(), []
+        young, old = self.young, self.old
+        spaced = self.mode == "space"
+        plain = _PLAIN[self.mode].match
+        fresh, made, words = set(), [], []
+
+        def new(p: str) -> None:
+            if self.plain and plain(p):
+                words.append(p)
+                young[p] = None  # until it is made below
+            else:
+                fresh.add(p)
+
         for p in pieces:
-            known = self.old.get(p, 0)
+            known = old.get(p, 0)
             if known != 0:
-                self.young[p] = known
-            elif not p or p == "\n" or self.mode == "space" and _EDGE.search(p[1:] if p[0] in "\n\x00" else p):
-                self.young[p] = None
+                young[p] = known
+            elif self.plain and plain(p):
+                words.append(p)
+            elif not p or p == "\n" or spaced and _EDGE.search(p[1:] if p[0] in "\n\x00" else p):
+                young[p] = None
             elif m := _MARKED.match(p):
                 line, word, marks = (m[4], m[5], "") if m[4] else (m[1], m[2], m[3])
-                parts = [x for x in (line and "\x00\n", "\x00" + word if line and self.mode == "space" else word, marks and "\x00" + marks if self.mode == "space" else marks) if x]
+                parts = [x for x in (line and "\x00\n", "\x00" + word if line and spaced else word, marks and "\x00" + marks if spaced else marks) if x]
                 made.append((p, parts))
                 for x in parts:
-                    if x not in self.young:
-                        known = self.old.get(x)
+                    if x not in young and x not in pieces:
+                        known = old.get(x)
                         if known is None:
-                            fresh.add(x)
+                            new(x)
                         else:
-                            self.young[x] = known
+                            young[x] = known
             else:
                 fresh.add(p)
-        if self.plain:
-            plain = _PLAIN[self.mode].match
-            words = [p for p in fresh if plain(p)]
-            lead = " " if self.mode == "space" else ""
-            model, code, table = self.tok.model.tokenize, self.code, self.plain
+        if words:
+            lead = " " if spaced else ""
+            model, ids, table = self.tok.model.tokenize, self.id_bytes, self.plain
             for p in words:
-                shown = (p[1:] if p[0] == "\x00" else lead + p).translate(table)
-                self.young[p] = array(code, [t.id for t in model(shown)]).tobytes()
-            fresh.difference_update(words)
+                found = model((p[1:] if p[0] == "\x00" else lead + p).translate(table))
+                young[p] = ids[found[0].id] if len(found) == 1 else b"".join([ids[t.id] for t in found])
         fresh = list(fresh)
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
-            if self.mode == "space":
-                texts = [p if p[0] == "\n" else p[1:] if p[0] == "\x00" else " " + p for p in part]
-            else:
-                texts = part
-            self.young.update(zip(part, self._raw(texts), strict=True))
+            texts = [p if p[0] == "\n" else p[1:] if p[0] == "\x00" else " " + p for p in part] if spaced else part
+            young.update(zip(part, self._raw(texts), strict=True))
         for p, parts in made:
-            self.young[p] = b"".join([self.young[x] for x in parts])
+            young[p] = b"".join([young[x] for x in parts])
 
     def _cut(self, text: str) -> list[str]:
+        if self.special and self.special.search(text):
+            return [""]
+        loose = not _TIGHT.search(text)  # then commas and stops are pieces of their own
         if self.mode == "drop":
-            return text.split() if not _CONTROL.search(text) else [""]
-        if "\x00" in text:  # the mark of a first piece
+            if _CONTROL.search(text):
+                return [""]
+            return text.replace(",", " ,").replace(".", " .").split() if loose else text.split()
+        if "\x00" in text:  # the mark of a piece without a space before it
             return [""]
+        if loose:
+            text = text.replace(",", " \x00,").replace(".", " \x00.")
         pieces = text.replace("\n", " \n").split(" ")
         pieces[0] = "\x00" + pieces[0]  # no space before the first one
         return pieces
@@ -164,7 +183,7 @@ class PieceEncoder:
             return None
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str, mode: str) -> PieceEncoder:
     """The worker process's encoder: what one task has learned serves the next."""
     return PieceEncoder(path, mode)

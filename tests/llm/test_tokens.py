@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
 import zlib
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -19,9 +23,7 @@ BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 def library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path(name))
 
 
 def reference(name, text):
@@ -37,9 +39,10 @@ def test_pieces_equal_library(name, mode):
     enc = PieceEncoder(name, mode, generation=40)
 
     @settings(max_examples=400, deadline=None)
-    @given(st.lists(st.text(alphabet=" \n\t\r\x00\x1c\xa0ab'sté.1²Σ中́<|>", max_size=14), max_size=4))
+    @given(st.lists(st.lists(st.sampled_from([*" \n\t\r\x00\x1c\xa0ab'sté.,1²Σ中́<|>_", "<|endoftext|>", "<|StartOfText|>", ", ", ". "]), max_size=14).map("".join), max_size=4))
     def check(texts):
-        assert enc.encode(texts) == enc._raw(texts)
+        want = [np.array(library(name).encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
+        assert enc.encode(texts) == want
 
     check()
 
@@ -60,24 +63,24 @@ def test_pack_equals_library(small_docs, texts):
     assert all(n == 512 for s, n in fill.items() if s != max(fill)) and sorted(fill) == list(range(len(fill)))
 
 
-def test_odd_rows(odd_docs, no_docs):
+def test_odd_rows(spark, odd_docs, no_docs):
     rows = pack(odd_docs).collect()
     assert sum(r.length for r in rows if r.doc_id == 2) == 1 and sum(r.start == 0 for r in rows) == 11
     assert pack(no_docs).count() == 0
     files = B.write_token_files(odd_docs, block_tokens=1000)
-    got = B.read_token_files(files).orderBy("doc_id", "start").collect()
-    assert [r.doc_id for r in got] == [1, 2, 3, 4, 5, 5, 6, 7, 8, 9]
+    got = B.read_token_files(spark, files).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 1, 2, 3, 4, 5, 5, 6, 7, 8, 9]
     want, at = [], 0
-    for r in odd_docs.where("doc_id is not null").orderBy("doc_id", "text").collect():
+    for r in odd_docs.orderBy("doc_id", "text").collect():
         ids = reference(BYTE, r.text)
         want.append((at, len(ids), crc(ids)))
         at += len(ids)
     assert [(r.start, r.n_tokens, r.ids_crc32) for r in got] == want
-    assert B.read_token_files(B.write_token_files(no_docs)).count() == 0
+    assert B.read_token_files(spark, B.write_token_files(no_docs)).count() == 0
 
 
-def test_files_equal_library(small_docs, texts):
-    got = {r.doc_id: r for r in B.read_token_files(B.write_token_files(small_docs, block_tokens=20_000)).collect()}
+def test_files_equal_library(spark, small_docs, texts):
+    got = {r.doc_id: r for r in B.read_token_files(spark, B.write_token_files(small_docs, block_tokens=20_000)).collect()}
     at = 0
     for d in sorted(texts):
         ids = reference(BYTE, texts[d])
@@ -103,6 +106,38 @@ def test_block_round_trip_and_ranges(n):
         B.read_block(raw, B.FrequencyTable(np.ones(10)))
 
 
+def test_special_spellings_are_special_tokens(spark):
+    rows = [(1, "hello <|endoftext|> world"), (2, "<|startoftext|>a, b.<|endoftext|>"), (3, "<|ENDOFTEXT|> x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in B.read_token_files(spark, B.write_token_files(docs)).collect()}
+    packed = {r.doc_id: r for r in pack(docs).collect()}
+    for d, t in rows:
+        assert (got[d].n_tokens, got[d].ids_crc32) == (len(reference(BYTE, t)), crc(reference(BYTE, t)))
+        assert (packed[d].doc_tokens, packed[d].ids_crc32) == (len(reference(WORD, t)), crc(reference(WORD, t)))
+    assert 50256 in reference(BYTE, rows[0][1]) and 49406 in reference(WORD, rows[1][1])
+
+
+def test_files_are_read_by_a_fresh_process(spark, small_docs, tmp_path):
+    path = f"file://{tmp_path}/files"
+    B.write_token_files(small_docs, path, block_tokens=50_000)
+    want = sorted(map(tuple, B.read_token_files(spark, path).collect()))
+    code = (
+        "import sys; from pyspark.sql import SparkSession; from brindle.llm.binary_output import read_token_files\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('ROWS', sorted(map(tuple, read_token_files(s, sys.argv[1]).collect())))"
+    )
+    root = str(Path(__file__).resolve().parents[2])
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))} | {"PYTHONPATH": root, "PYSPARK_PYTHON": sys.executable}
+    out = subprocess.run([sys.executable, "-c", code, path], capture_output=True, text=True, env=env, timeout=300, cwd=tmp_path)
+    assert f"ROWS {want}" in out.stdout, out.stderr[-2000:]
+
+
+def test_equal_ids_keep_all_rows(spark):
+    docs = spark.createDataFrame([(7, f"text {i % 50}") for i in range(400)], "doc_id long, text string")
+    got = B.read_token_files(spark, B.write_token_files(docs, block_tokens=100)).orderBy("start").collect()
+    assert len(got) == 400 and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
 def test_frequency_table_with_many_rare_symbols():
     counts = np.ones(50_000, np.int64)
     counts[0] = 10**12
