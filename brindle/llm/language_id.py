@@ -1,7 +1,8 @@
 """Language identification with bit-sliced n-gram Bloom filters.
 
 One filter per language, all with the same size and hash functions, lie side by side:
-entry ``i`` of the table is a bitmask of the languages whose filter has bit ``i`` set.
+entry ``i`` of the table is a bitmask of the languages whose filter has bit ``i`` set,
+in as many 64-bit words as there are languages to tell.
 Three lookups and two ANDs therefore return every language that contains an n-gram.
 Per-language popcounts over all n-grams of a text are corrected for each filter's
 false-positive rate; the language that explains most n-grams is the answer.
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_bucket
+from .common import ascii_bucket, stage
 
 UNDETERMINED = "und"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -82,25 +83,29 @@ def ngrams(texts: list[str], sizes: tuple[int, ...] = (3, 4)) -> tuple[np.ndarra
 @dataclass
 class LanguageFilters:
     languages: list[str]
-    table: np.ndarray  # uint64 bitmasks
+    table: np.ndarray  # uint64 bitmasks: words x entries
     false_rate: np.ndarray  # of each language's filter
     home_rate: np.ndarray  # share of a language's own n-grams that its filter holds
     hashes: int = 3
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        """Bitmask of the languages that contain each n-gram."""
-        size = np.uint64(len(self.table) - 1)
-        out = self.table[(h & size).astype(np.int64)]
-        for k in range(1, self.hashes):
-            out = out & self.table[((h >> np.uint64(21 * k)) & size).astype(np.int64)]
+        """Bitmask, words x n-grams, of the languages that contain each n-gram."""
+        size = np.uint64(self.table.shape[1] - 1)
+        at = [((h >> np.uint64(21 * k)) & size).astype(np.int64) for k in range(self.hashes)]
+        out = np.empty((len(self.table), len(h)), np.uint64)
+        for w, row in enumerate(self.table):
+            out[w] = row[at[0]]
+            for a in at[1:]:
+                out[w] &= row[a]
         return out
 
     def explained(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Share of each text's n-grams that each language contains, corrected for false positives."""
         masks, ends = self.masks(h), np.cumsum(counts)
         out = np.zeros((len(counts), len(self.languages)))
+        hits = np.zeros(len(h) + 1, np.int32)
         for k in range(len(self.languages)):
-            hits = np.r_[0, np.cumsum((masks >> np.uint64(k)) & np.uint64(1), dtype=np.int64)]
+            np.cumsum((masks[k >> 6] >> np.uint64(k & 63)) & np.uint64(1), dtype=np.int32, out=hits[1:])
             pop = hits[ends] - hits[ends - counts]
             f = self.false_rate[k]
             out[:, k] = np.clip((pop - counts * f) / np.maximum(1e-9, (1 - f) * counts * self.home_rate[k]), 0, 1.5)
@@ -121,52 +126,63 @@ class LanguageFilters:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of some texts at a time, so that memory does not follow the size of a batch."""
     for b in batches:
-        langs = b.column("lang").to_pylist()
-        texts = b.column("text").to_pylist()
+        langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
         for lang in dict.fromkeys(langs):
-            h, _, _ = ngrams([t for t, x in zip(texts, langs, strict=True) if x == lang])
-            grams, n = np.unique(h.view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
+            own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
+            for rows in _groups(own):
+                h, _, _ = ngrams(own[rows])
+                grams, n = np.unique(h.view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
 
-def fit(docs: DataFrame, per_language: int = 2500, max_grams: int = 150_000, max_languages: int = 64, bits: int = 21, at_least: float = 0.08) -> LanguageFilters:
-    """Filters from about ``per_language`` documents of each of the ``max_languages`` most frequent languages.
+def fit(docs: DataFrame, per_language: int = 2500, max_grams: int = 150_000, total_grams: int = 3_000_000, bits: int = 21, table_bytes: int = 1 << 28, at_least: float = 0.08) -> LanguageFilters:
+    """Filters from about ``per_language`` documents of each language, however many there are.
 
     ``docs`` has doc_id, text and lang of rows to learn from.  An n-gram enters a
     language's filter if it is at least ``at_least`` times as frequent there as in the
-    language where it is most frequent; each filter takes its ``max_grams`` most frequent ones.
+    language where it is most frequent; each filter takes its ``max_grams`` most frequent
+    ones, or an equal share of ``total_grams`` if that is less (those that tie at the cut
+    stay out).  A table beyond ``table_bytes`` gets fewer entries a filter, and false
+    positives are corrected at the rate that follows.
     """
     rows = docs.where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    languages = sorted(sizes)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
     if not languages:
-        return LanguageFilters([], np.zeros(1 << 6, np.uint64), np.zeros(0), np.ones(0))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    drawn = F.crc32(F.concat(F.lit("language:"), F.col("doc_id").cast("string")).cast("binary")) < share * float(1 << 32)
-    counts = rows.where(drawn).select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    rank = F.row_number
-    from pyspark.sql import Window
-
-    top = counts.where("n > 1").withColumn("r", rank().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= max_grams)
-    pdf = top.select("lang", "gram", "n").toPandas()
+        return LanguageFilters([], np.zeros((1, 1 << 6), np.uint64), np.zeros(0), np.ones(0))
+    words = -(-len(languages) // 64)
+    while bits > 12 and 8 * words << bits > table_bytes:
+        bits -= 1
+    most = max(1, min(max_grams, total_grams // len(languages), (1 << bits) // 12))
+    shares = F.broadcast(sizes.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share")))  # a row a language
+    drawn = F.crc32(F.concat(F.lit("language:"), F.col("doc_id").cast("string")).cast("binary")) < F.col("share") * float(1 << 32)
+    texts = rows.join(shares, "lang").where(drawn).select("lang", "text")
+    counts = stage(texts.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).where("n > 1"), "language-grams")
+    # The least count that keeps at most `most` n-grams of each language, from how often each count occurs.
+    cut: dict[str, int] = {}
+    taken: dict[str, int] = {}
+    for r in counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("k")).orderBy("lang", F.desc("n")).collect():
+        taken[r["lang"]] = taken.get(r["lang"], 0) + r["k"]
+        if taken[r["lang"]] <= most:
+            cut[r["lang"]] = r["n"]
+    cuts = F.broadcast(docs.sparkSession.createDataFrame(list(cut.items()), "lang string, least long"))
+    pdf = counts.join(cuts, "lang").where("n >= least").select("lang", "gram", "n").toPandas()  # total_grams rows at most
     totals = pdf.groupby("lang")["n"].sum()
     pdf["rate"] = pdf["n"] / pdf["lang"].map(totals)
     peak = pdf.groupby("gram")["rate"].transform("max")
     pdf["keep"] = pdf["rate"] >= at_least * peak
-    table = np.zeros(1 << bits, np.uint64)
+    table = np.zeros((words, 1 << bits), np.uint64)
     filters = LanguageFilters(languages, table, np.zeros(len(languages)), np.ones(len(languages)))
-    size = np.uint64(len(table) - 1)
+    size = np.uint64(table.shape[1] - 1)
     for k, lang in enumerate(languages):
         own = pdf[pdf["lang"] == lang]
         h = own["gram"][own["keep"]].to_numpy().view(np.uint64)
         for j in range(filters.hashes):
-            np.bitwise_or.at(table, ((h >> np.uint64(21 * j)) & size).astype(np.int64), np.uint64(1 << k))
+            np.bitwise_or.at(table[k >> 6], ((h >> np.uint64(21 * j)) & size).astype(np.int64), np.uint64(1 << (k & 63)))
         filters.home_rate[k] = max(0.05, own["n"][own["keep"]].sum() / max(1, own["n"].sum()))
-    for k in range(len(languages)):
-        fill = float(((table >> np.uint64(k)) & np.uint64(1)).mean())
+        fill = float(((table[k >> 6] >> np.uint64(k & 63)) & np.uint64(1)).mean())
         filters.false_rate[k] = fill**filters.hashes
     return filters
 
@@ -215,5 +231,5 @@ def identify(docs: DataFrame, filters: LanguageFilters | None = None, id_col: st
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     if filters is None:
         filters = fit(base.where(~held_out() & F.col("doc_id").isNotNull()))
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # 8 * 2**bits bytes at any size of input
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # at most table_bytes at any size of input
     return base.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(_predict(sent), _OUT)

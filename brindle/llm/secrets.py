@@ -2,15 +2,17 @@
 
 Base matches come from three patterns.  Weak parts (short or undeclared values,
 account identifiers, endpoints) mean nothing alone; they are linked by an interval
-join inside a document: a sweep in order of position carries the nearest part of
-each other role before and after, and a weak candidate is reported only if a
-complement lies within ``scope`` code points of it.  The sweep is linear in the
-parts, whereas a join on overlapping intervals would emit all pairs of a scope.
+join inside a document: every weak candidate looks for a part of a complementary role
+that meets its own span widened by ``scope`` code points on either side.  Positions are
+cut in buckets no wider than the scope.  Parts are first reduced to the interval that
+they span in each bucket, so the join is an equality on (document, role, bucket) with an
+overlap test, makes at most one row for each bucket of a candidate, and never lists
+the pairs of a scope.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -75,7 +77,8 @@ def scan_secrets(docs: DataFrame, scope: int = 400, id_col: str = "doc_id", text
     """Base matches and linked weak candidates of every text.
 
     Returns one row per input row: doc_id, n_assign, n_access, n_hex, base_sha256,
-    spans, n_linked.  A null text counts as empty, with no spans.  Repeated rows get
+    spans, n_linked.  A weak part is reported if a complement is at most ``scope`` code
+    points away; parts may overlap (gap 0).  A null text counts as empty, with no spans.  Repeated rows get
     equal results; a null id is carried along.  An empty table gives no rows; columns
     besides the two named are not read.
     """
@@ -108,7 +111,6 @@ def scan_secrets(docs: DataFrame, scope: int = 400, id_col: str = "doc_id", text
 def _link(found: DataFrame, scope: int) -> DataFrame:
     """Weak candidates that have a complement within ``scope``, gathered per text."""
     roles = {"id": F.concat("access", "weak_id"), "secret": F.concat("assign", "hex", "weak_secret"), "endpoint": F.col("weak_endpoint")}
-    # Weak spans keep their index k (0 id, 1 secret, 2 endpoint); base spans are told by `weak`.
 
     def tagged(role: str) -> Column:
         return F.transform(roles[role], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(role).alias("role"), F.array_contains(F.col(f"weak_{role}"), s).alias("weak")))
@@ -116,17 +118,24 @@ def _link(found: DataFrame, scope: int) -> DataFrame:
     several = sum((F.size(r) > 0).cast("int") for r in roles.values()) > 1
     some_weak = F.size("weak_id") + F.size("weak_secret") > 0
     key = ["doc_id", "h", "n"]
-    parts = found.where(several & some_weak).select(*key, F.explode(F.concat(*map(tagged, roles))).alias("p")).select(*key, "p.*").distinct()
-    up = Window.partitionBy(*key).orderBy("start", "end", "role").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*key).orderBy(F.desc("start"), F.desc("end"), F.desc("role")).rowsBetween(Window.unboundedPreceding, 0)
-    near = {}
-    for role in roles:
-        mine = F.col("role") == role
-        gap_before = F.col("start") - F.max(F.when(mine, F.col("end"))).over(up)
-        gap_after = F.min(F.when(mine, F.col("start"))).over(down) - F.col("end")
-        near[role] = F.greatest(F.least(*[F.coalesce(gap, F.lit(scope + 1)) for gap in (gap_before, gap_after)]), F.lit(0))
-    swept = parts.select(*key, "start", "end", "role", "weak", *[c.alias(f"near_{r}") for r, c in near.items()])
-    complete = F.when(F.col("role") == "id", F.col("near_secret") <= scope).when(F.col("role") == "secret", (F.col("near_id") <= scope) | (F.col("near_endpoint") <= scope)).otherwise(False)
+    parts = found.where(several & some_weak).select(*key, F.explode(F.concat(*map(tagged, roles))).alias("p")).select(*key, "p.*")
+    # A bucket is no wider than the scope, so a widened span ends in another bucket than it
+    # begins in.  Then the interval that all parts of a bucket span together meets the
+    # widened span if and only if one of the parts does.
+    width = max(1, scope)
+
+    def buckets(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
+
+    # An identifier or an endpoint complements a secret, a secret an identifier.
+    serves = F.when(F.col("role") == "secret", "id").otherwise("secret")
+    offers = parts.select(*[F.col(c).alias(f"o_{c}") for c in key], serves.alias("serves"), "start", "end", buckets(F.col("start"), F.col("end")).alias("o_bucket"))
+    offers = offers.groupBy(*[f"o_{c}" for c in key], "serves", "o_bucket").agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    weak = parts.where(F.col("weak") & (F.col("role") != "endpoint")).select(*key, "role", "start", "end").distinct()
+    wide = weak.withColumn("bucket", buckets(F.col("start") - scope, F.col("end") + scope))
+    same = wide["doc_id"].eqNullSafe(offers["o_doc_id"]) & (wide["h"] == offers["o_h"]) & (wide["n"] == offers["o_n"])
+    meets = same & (wide["role"] == offers["serves"]) & (wide["bucket"] == offers["o_bucket"]) & (F.col("first") <= F.col("end") + scope) & (F.col("last") >= F.col("start") - scope)
+    hits = wide.join(offers.hint("merge"), meets, "left_semi").select(*key, "role", "start", "end").distinct()
     span = F.struct(F.col("start"), F.when(F.col("role") == "id", 3).otherwise(4).alias("k"), F.col("end"))
-    out = swept.where(F.col("weak") & complete).groupBy(*key).agg(F.collect_list(span).cast(f"array<{_SPAN}>").alias("more"))
+    out = hits.groupBy(*key).agg(F.collect_list(span).cast(f"array<{_SPAN}>").alias("more"))
     return out.select(*[F.col(c).alias(f"l_{c}") for c in key], "more")

@@ -46,16 +46,37 @@ def test_ngrams_of_a_batch_equal_single_texts():
 
 
 def test_filters_return_every_language_of_a_gram():
-    table = np.zeros(1 << 12, np.uint64)
+    table = np.zeros((1, 1 << 12), np.uint64)
     f = L.LanguageFilters(["a", "b"], table, np.zeros(2), np.ones(2))
     grams, _, _ = L.ngrams(["lamp river stone"])
     for k, own in enumerate((grams[:8], grams[4:])):
         for j in range(f.hashes):
-            np.bitwise_or.at(table, ((own >> np.uint64(21 * j)) & np.uint64(len(table) - 1)).astype(np.int64), np.uint64(1 << k))
-    masks = f.masks(grams)
+            np.bitwise_or.at(table[0], ((own >> np.uint64(21 * j)) & np.uint64(table.shape[1] - 1)).astype(np.int64), np.uint64(1 << k))
+    masks = f.masks(grams)[0]
     assert all(masks[:8] & np.uint64(1)) and all(masks[4:] & np.uint64(2))
 
 
+def test_more_than_64_languages(spark):
+    r = random.Random(12)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 70 * 6)]  # each language writes with letters of its own
+    rows = [(i, " ".join("".join(r.choice(letters[6 * k : 6 * k + 6]) for _ in range(r.randrange(2, 6))) for _ in range(30)), f"l{k:02d}") for i in range(70 * 8) for k in [i % 70]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = L.identify(docs).collect()
+    assert len(got) == len(rows) and all(x.lang_pred == f"l{x.doc_id % 70:02d}" for x in got)
+    few = L.fit(docs, table_bytes=1 << 17)
+    assert few.table.shape == (2, 1 << 13) and L.identify(docs, few).where("lang_pred = concat('l', lpad(doc_id % 70, 2, '0'))").count() > 500
+
+
+def test_counting_grams_takes_few_texts_at_a_time():
+    import pyarrow as pa
+
+    texts = ["lamp river stone " * 2000] * 60 + [None, "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 62), pa.array([t or "" for t in texts])], ["lang", "text"])
+    parts = list(L._count_grams(iter([batch])))
+    h, _, _ = L.ngrams([texts[0]])
+    assert len(parts) > 3 and sum(p.column("n").to_numpy().sum() for p in parts) == 60 * len(h)
+
+
 def edits(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
