@@ -1,19 +1,24 @@
 """Removal of long repeated byte strings with suffix arrays.
 
-A byte goes if some ``length``-byte string over it also starts anywhere else.
-
-1. Every window of ``length`` bytes has a minimizer, the least hash of its ``gram``-byte
-   strings.  Successive windows with one minimizer form a segment; equal windows have
-   equal minimizers, so they can only meet inside the segments of one minimizer.
-2. Segments are counted by minimizer and content.  A content that occurs twice is repeated
-   as a whole.  A minimizer with several contents, or one that a segment holds twice,
-   needs the bytes: they are read again through a filter of fixed size.
+A byte goes if some ``length``-byte string over it also starts anywhere else.  Beside
+that, bytes are counted that stand in a passage: a string of ``passage`` bytes that also
+stands in another document.
+
+1. Every window of the shorter of the two lengths has a minimizer, the least hash of its
+   ``gram``-byte strings.  Successive windows with one minimizer form a segment, whose
+   bytes reach as far as the longer length.  Equal windows have equal minimizers, so
+   they can only meet inside the segments of one minimizer.
+2. Minimizers with one segment alone, in which they occur once, cannot hold a repeat.
+   The others' segments are cut out of their texts; a task sends equal bytes at most
+   three times, which is enough to see that they recur, and in another document.
 3. Segments are dealt to shards by minimizer.  A shard's suffix array is built by
-   Larsson-Sadakane refinement, its common prefixes by Kasai's algorithm; neighbours with
-   ``length`` bytes in common are repeated windows.  A minimizer with too many bytes for
-   one shard is split, and each two of its shards are merged by binary search in the
-   other's suffix array.
-4. Repeated windows go back to their documents, where their bytes are removed.
+   Larsson-Sadakane refinement, its common prefixes by Kasai's algorithm; windows whose
+   common prefix is long enough are repeated.  A minimizer with too many bytes for one
+   shard is split, and each two of its shards are merged by binary search in the other's
+   suffix array.
+4. Repeated windows go back to their documents by minimizer and a hash of the segment's
+   bytes.  Bytes under one hash are compared wherever they meet; if any differ, all is
+   done again under another hash, so no result rests on a hash alone.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | padded[k : k + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     sorted_key = key[sa]
     new = np.r_[True, sorted_key[1:] != sorted_key[:-1]] if n else np.zeros(0, bool)
     rank = np.zeros(n + 1, np.int64)  # the last entry, 0, stands for the end
@@ -64,11 +69,11 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
             break
         pos = sa[at]
         own = rank[pos]
-        after = rank[np.minimum(pos + h, n)]
-        order = np.lexsort((after, own))
+        both = own * np.int64(n + 1) + rank[np.minimum(pos + h, n)]
+        order = np.argsort(both)
         sa[at] = pos[order]
-        own, after = own[order], after[order]
-        tied = regroup(at, np.r_[True, (own[1:] != own[:-1]) | (after[1:] != after[:-1])])
+        both = both[order]
+        tied = regroup(at, np.r_[True, both[1:] != both[:-1]])
         h *= 2
     return sa
 
@@ -118,49 +123,75 @@ def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, ends - sizes
 
 
-def repeated_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
-    """Per part, whether the window at each start occurs anywhere else in the parts."""
-    codes, starts = _joined(parts)
-    sa = suffix_array(codes, len(codes))  # Kasai needs the full order
-    shared = common_prefixes(codes, sa, length) >= length
-    repeated = shared.copy()
-    repeated[sa[:-1][shared[sa[1:]]]] = True
-    return [repeated[s : s + max(0, len(p) - length + 1)] for s, p in zip(starts, parts, strict=True)]
-
-
-def windows_in_both(left: list[bytes], right: list[bytes], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per part, whether each window occurs on the other side: binary search in the other's suffix array."""
-
-    def windows(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes, starts = _joined(parts)
-        valid = np.concatenate([np.arange(s, s + max(0, len(p) - length + 1)) for s, p in zip(starts, parts, strict=True)])
-        mark = np.zeros(len(codes), bool)
-        mark[valid] = True
-        sa = suffix_array(codes, length)
-        return codes, sa[mark[sa]], starts
-
-    def search(codes: np.ndarray, sa: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Whether text[at : at + length] is a window of ``codes``; all searches halve their range together."""
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(sa), np.int64)
-        found = np.zeros(len(at), bool)
-        live = np.arange(len(at)) if len(sa) else np.zeros(0, np.int64)
-        while len(live):
-            mid = (low[live] + high[live]) >> 1
-            less, equal = _compare(codes, sa[mid], text, at[live], length)
-            found[live] = equal
-            low[live] = np.where(less, mid + 1, low[live])
-            high[live] = np.where(less, high[live], mid)
-            live = live[~equal & (low[live] < high[live])]
-        return found
-
-    a, sa_a, starts_a = windows(left)
-    b, sa_b, starts_b = windows(right)
-    out = []
-    for codes, sa, text, order, starts, parts in ((b, sa_b, a, sa_a, starts_a, left), (a, sa_a, b, sa_b, starts_b, right)):
-        hit = np.zeros(len(text), bool)
-        hit[order] = search(codes, sa, text, order)
-        out.append([hit[s : s + max(0, len(p) - length + 1)] for s, p in zip(starts, parts, strict=True)])
-    return out[0], out[1]
+class Shard:
+    """Suffix array and common prefixes over parts; windows start at the first ``counts`` places of each."""
+
+    def __init__(self, parts: list[bytes], counts: list[int], docs: list[int], cap: int):
+        self.parts, self.counts, self.docs = parts, counts, np.array(docs, np.int64)
+        self.codes, self.starts = _joined(parts)
+        sizes = np.array([len(p) + 1 for p in parts])
+        self.owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+        place = np.arange(len(self.codes)) - self.starts[self.owner]
+        self.room = np.where(place < np.array(counts)[self.owner], sizes[self.owner] - 1 - place, -1).astype(np.int32)  # bytes behind each window start
+        self.sa = suffix_array(self.codes, len(self.codes))  # Kasai needs the full order
+        self.prefix = common_prefixes(self.codes, self.sa, cap)[self.sa]
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places in order, group of each, first and last document of each group); a group's windows are equal."""
+        at = np.flatnonzero(self.room[self.sa] >= length)
+        order = self.sa[at]
+        if not len(at):
+            return order, at, at, at
+        # What two windows share is the least of the prefixes between them.
+        shared = np.minimum.reduceat(self.prefix[: at[-1] + 1], at[:-1] + 1) if len(at) > 1 else np.zeros(0, np.int64)
+        first = np.r_[True, shared < length]
+        docs = self.docs[self.owner[order]]
+        starts = np.flatnonzero(first)
+        return order, np.cumsum(first) - 1, np.minimum.reduceat(docs, starts), np.maximum.reduceat(docs, starts)
+
+    def per_part(self, order: np.ndarray, hit: np.ndarray) -> list[np.ndarray]:
+        flags = np.zeros(len(self.codes), bool)
+        flags[order[hit]] = True
+        return [flags[s : s + c] for s, c in zip(self.starts.tolist(), self.counts, strict=True)]
+
+    def repeats(self, length: int) -> list[np.ndarray]:
+        """Per part, whether the window at each start occurs anywhere else."""
+        order, group, *_ = self.windows(length)
+        return self.per_part(order, np.bincount(group)[group] > 1 if len(order) else np.zeros(0, bool))
+
+    def shared(self, length: int) -> list[np.ndarray]:
+        """Per part, whether the window at each start occurs in another document."""
+        order, group, low, high = self.windows(length)
+        return self.per_part(order, (low != high)[group] if len(order) else np.zeros(0, bool))
+
+    def found_in(self, other: Shard, length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Per part, whether each window occurs in ``other``, and whether there or here in another document."""
+        order, group, low, high = self.windows(length)
+        there, their_group, their_low, their_high = other.windows(length)
+        # One window of each group is sought; all searches halve their range together.
+        heads = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])] if len(order) else order
+        place = _search_all(other.codes, there, self.codes, heads, length)
+        hit = place >= 0
+        apart = np.zeros(len(heads), bool)
+        if hit.any():
+            g = their_group[place[hit]]
+            apart[hit] = (np.minimum(their_low[g], low[hit]) != np.maximum(their_high[g], high[hit]))
+        return self.per_part(order, hit[group]), self.per_part(order, apart[group])
+
+
+def _search_all(codes: np.ndarray, sa: np.ndarray, text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Where in ``sa`` a window of ``codes`` equals text[at : at + length]; -1 if none does."""
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), len(sa), np.int64)
+    found = np.full(len(at), -1, np.int64)
+    live = np.arange(len(at)) if len(sa) else np.zeros(0, np.int64)
+    while len(live):
+        mid = (low[live] + high[live]) >> 1
+        less, equal = _compare(codes, sa[mid], text, at[live], length)
+        found[live[equal]] = mid[equal]
+        low[live] = np.where(less, mid + 1, low[live])
+        high[live] = np.where(less, high[live], mid)
+        live = live[~equal & (low[live] < high[live])]
+    return found
 
 
 def _compare(codes: np.ndarray, at: np.ndarray, text: np.ndarray, to: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,22 +214,27 @@ def _compare(codes: np.ndarray, at: np.ndarray, text: np.ndarray, to: np.ndarray
     return less, equal
 
 
-def _minimizers(raw: np.ndarray, length: int, gram: int, folds: bool = False) -> tuple[np.ndarray, ...]:
-    """Segments of a text: (first window, windows, minimizer, content hash).
+def _content(sums: np.ndarray, down: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of raw[first:stop] from prefix sums of the rolling hash."""
+    return _mix((sums[stop] - sums[first]) * down[first] + _mix((stop - first).astype(np.uint64)))
 
-    With ``folds`` also whether the minimizer occurs more than once in the segment; only
-    then can two windows of it be equal.
+
+def _minimizers(raw: np.ndarray, short: int, reach: int, gram: int, salt: int = 0, hash_bits: int = 64) -> tuple[np.ndarray, ...]:
+    """Segments of a text: first window, windows, end of its bytes, minimizer, content hash, folds.
+
+    ``folds`` tells whether the minimizer occurs more than once in the segment; only then
+    can two windows of it be equal.  With a ``salt`` contents are hashed by BLAKE2.
     """
     n = len(raw)
     none = np.zeros(0, np.int64)
-    if n < length:
-        return (none, none, none, none, np.zeros(0, bool))[: 4 + folds]
+    if n < short:
+        return none, none, none, none, none, np.zeros(0, bool)
     up, down = _power_tables(n + 1)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     h = _mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
-    width, windows = length - gram + 1, n - length + 1
+    width, windows = short - gram + 1, n - short + 1
     blocks = -(-len(h) // width)
     grid = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
     grid[: len(h)] = h
@@ -208,84 +244,78 @@ def _minimizers(raw: np.ndarray, length: int, gram: int, folds: bool = False) ->
     least = np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows])
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     count = np.diff(np.r_[first, windows])
-    stop = first + count + length - 1
-    content = _mix((sums[stop] - sums[first]) * down[first] + _mix(count.astype(np.uint64)))
+    stop = np.minimum(first + count - 1 + reach, n)
+    if salt:
+        key = salt.to_bytes(8, "little")
+        content = np.array([int.from_bytes(hashlib.blake2b(raw[a:b].tobytes(), digest_size=8, key=key).digest(), "little") for a, b in zip(first.tolist(), stop.tolist(), strict=True)], np.uint64)
+    else:
+        content = _content(sums, down, first, stop) >> np.uint64(64 - hash_bits)
     value = least[first]
-    out = (first, count, value.view(np.int64), content.view(np.int64))
-    if not folds:
-        return out
     ends = first + count + width - 1
     twice = [c > 1 and np.count_nonzero(h[s:e] == v) > 1 for s, e, c, v in zip(first.tolist(), ends.tolist(), count.tolist(), value, strict=True)]
-    return *out, np.array(twice, bool)
+    return first, count, stop, value.view(np.int64), content.view(np.int64), np.array(twice, bool)
 
 
 def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _segments(length: int, gram: int):
+def _segments(short: int, reach: int, gram: int, salt: int, hash_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, parts = [], []
+            keys, parts, size = [], [], 0
+
+            def rows() -> pa.RecordBatch:
+                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *map(pa.array, columns)], ["key", "at", "windows", "stop", "anchor", "content", "folds"])
+
             for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                part = _minimizers(_bytes(text), length, gram, folds=True)
+                part = _minimizers(_bytes(text), short, reach, gram, salt, hash_bits)
                 keys += [key] * len(part[0])
                 parts.append(part)
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else _minimizers(np.zeros(0, np.uint8), length, gram, folds=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *map(pa.array, columns)], ["key", "at", "windows", "anchor", "content", "folds"])
+                size += len(part[0])
+                if size >= 50_000:
+                    yield rows()
+                    keys, parts, size = [], [], 0
+            if size:
+                yield rows()
 
     return run
 
 
-class AnchorFilter:
-    """A Bloom filter of minimizers: at most ``cap`` bits, however many there are."""
+_PART = ["anchor", "content", "windows", "doc", "bytes"]
+_PART_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
-    def __init__(self, bits: int, words: dict[int, int]):
-        self.mask = bits - 1
-        self.words = np.zeros(bits // 64, np.uint64)
-        if words:
-            self.words[np.fromiter(words.keys(), np.int64)] = np.fromiter(words.values(), np.int64).view(np.uint64)
-
-    def may_hold(self, anchors: np.ndarray) -> np.ndarray:
-        out = np.ones(len(anchors), bool)
-        for shift in (0, 32):
-            p = (anchors >> shift) & self.mask
-            out &= (self.words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
-        return out
 
-    @classmethod
-    def build(cls, anchors: DataFrame, cap: int = 1 << 25) -> AnchorFilter:
-        """From ``anchors(anchor)``; what reaches the driver is the words of the filter."""
-        n = anchors.count()
-        bits = min(cap, max(1 << 12, 1 << (16 * max(1, n) - 1).bit_length()))
-        place = F.explode(F.array(F.col("anchor").bitwiseAND(F.lit(bits - 1)), F.shiftright("anchor", 32).bitwiseAND(F.lit(bits - 1))))
-        rows = anchors.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
-        return cls(bits, {r["w"]: r["v"] for r in rows.toLocalIterator()})
-
-
-def _contexts(length: int, gram: int, sent, remember: int = 20_000):
-    """Bytes of segments whose minimizer may be in the filter; a task sends a content once, as far as it remembers."""
+def _cut_out(remember: int = 20_000):
+    """Bytes of a text's segments.  A task sends equal bytes twice, and once more if only then in another text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep: AnchorFilter = sent.value
-        seen: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int], list] = {}  # (minimizer, content): bytes, document, times sent, in two documents
         for b in batches:
-            out: list[tuple[int, int, bytes]] = []
-            for text in b.column("text").to_pylist():
-                raw = _bytes(text)
-                at, count, anchor, content = _minimizers(raw, length, gram)
-                for k in np.flatnonzero(keep.may_hold(anchor)) if len(at) else ():
-                    pair = (int(anchor[k]), int(content[k]))
-                    if pair not in seen:
+            out: list[tuple] = []
+            for doc, text, segments in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "segments")), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                for s in segments:
+                    pair, part = (s["anchor"], s["content"]), raw[s["at"] : s["stop"]]
+                    known = seen.get(pair)
+                    if known is None:
                         if len(seen) >= remember:
                             seen.clear()
-                        seen.add(pair)
-                        out.append((*pair, raw[at[k] : at[k] + count[k] + length - 1].tobytes()))
-                if len(out) > 4096:
-                    yield _rows(out, ["anchor", "content", "bytes"], [pa.int64(), pa.int64(), pa.binary()])
+                        seen[pair] = [part, doc, 1, False]
+                    elif known[0] == part:
+                        apart = doc != known[1]
+                        if known[2] > 1 and (known[3] or not apart):
+                            continue
+                        known[2] += 1
+                        known[3] |= apart
+                    # Other bytes under this hash are sent each time: the shard must see them.
+                    out.append((*pair, s["windows"], doc, part))
+                if len(out) > 2048:
+                    yield _rows(out, _PART, _PART_KINDS)
                     out = []
             if out:
-                yield _rows(out, ["anchor", "content", "bytes"], [pa.int64(), pa.int64(), pa.binary()])
+                yield _rows(out, _PART, _PART_KINDS)
 
     return run
 
@@ -309,46 +339,79 @@ def _covered(repeated: np.ndarray, length: int) -> list[int]:
     return out
 
 
-def _search(length: int, chunk_bytes: int):
-    """Rows sorted by (anchor, left, right): suffix arrays over whole minimizers, or over two split shards."""
+_FOUND = ["anchor", "content", "removed", "shared"]
+_FOUND_KINDS = [pa.int64(), pa.int64(), _RUNS, _RUNS]
+
+
+class CollisionError(Exception):
+    """Different bytes were met under one hash."""
+
+
+def _search(length: int, passage: int, chunk_bytes: int):
+    """Rows sorted by (anchor, left, right): suffix arrays over whole minimizers, or over two split shards.
+
+    A row with null runs tells that different bytes met under its hash.
+    """
+    cap = max(length, passage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: dict[tuple[int, int], tuple[int, bytes]] = {}
-        batch: dict[tuple[int, int], bytes] = {}
+        # (minimizer, content): side, windows, bytes, one or two documents in which they stand
+        group: dict[tuple[int, int], tuple[int, int, bytes, list[int]]] = {}
+        batch: dict[tuple[int, int], tuple[int, int, bytes, list[int]]] = {}
         key, size = None, 0
 
-        def emit(found: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
-            rows = [(*pair, _covered(r, length)) for pair, r in found.items() if r.any()]
+        def shard(of: dict) -> tuple[list[tuple[int, int]], Shard]:
+            rows = [(pair, windows, raw, doc) for pair, (_, windows, raw, docs) in of.items() for doc in docs]
+            return [r[0] for r in rows], Shard([r[2] for r in rows], [r[1] for r in rows], [r[3] for r in rows], cap)
+
+        def emit(pairs: list[tuple[int, int]], removed: list[np.ndarray], shared: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            rows, before = [], None
+            for pair, r, s in zip(pairs, removed, shared, strict=True):
+                if pair != before and (r.any() or s.any()):  # both places of recurring bytes find the same
+                    rows.append((*pair, _covered(r, length), _covered(s, passage)))
+                before = pair
             if rows:
-                yield _rows(rows, ["anchor", "content", "runs"], [pa.int64(), pa.int64(), _RUNS])
+                yield _rows(rows, _FOUND, _FOUND_KINDS)
 
         def whole() -> Iterator[pa.RecordBatch]:
             if batch:
-                yield from emit(dict(zip(batch, repeated_windows(list(batch.values()), length), strict=True)))
+                pairs, one = shard(batch)
+                yield from emit(pairs, one.repeats(length), one.shared(passage))
 
         def close() -> Iterator[pa.RecordBatch]:
             if key is None:
                 return
             _, left, right = key
             if left == right:  # one shard; small ones share a suffix array
-                batch.update({pair: raw for pair, (_, raw) in group.items()})
+                batch.update(group)
                 return
-            sides = [{p: raw for p, (c, raw) in group.items() if c == side} for side in (left, right)]
+            sides = [{p: v for p, v in group.items() if v[0] == side} for side in (left, right)]
             if all(sides):
-                for side, found in zip(sides, windows_in_both(*(list(s.values()) for s in sides), length), strict=True):
-                    yield from emit(dict(zip(side, found, strict=True)))
+                (own, a), (others, b) = map(shard, sides)
+                for pairs, one, other in ((own, a, b), (others, b, a)):
+                    removed, _ = one.found_in(other, length)
+                    _, shared = one.found_in(other, passage)
+                    yield from emit(pairs, removed, shared)
 
         for b in batches:
-            for anchor, left, right, chunk, content, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "left", "right", "chunk", "content", "bytes")), strict=True):
+            for anchor, left, right, chunk, content, windows, doc, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "left", "right", "chunk", "content", "windows", "doc", "bytes")), strict=True):
                 if (anchor, left, right) != key:
                     yield from close()
                     key, group = (anchor, left, right), {}
                     if size >= chunk_bytes:
                         yield from whole()
                         batch, size = {}, 0
-                if (anchor, content) not in group:
-                    group[anchor, content] = (chunk, raw)
+                known = group.get((anchor, content))
+                if known is None:
+                    group[anchor, content] = (chunk, windows, raw, [doc])
+                    size += len(raw)
+                elif known[2] != raw:
+                    yield _rows([(anchor, content, None, None)], _FOUND, _FOUND_KINDS)
+                elif len(known[3]) < 2:
+                    known[3].append(doc)
                     size += len(raw)
+                elif known[3][0] == known[3][1]:
+                    known[3][1] = doc
         yield from close()
         yield from whole()
 
@@ -360,59 +423,92 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for doc, text, runs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "runs")), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            kept, at, removed, spans = [], 0, 0, 0
-            last = -1
-            for x in sorted(runs or [], key=lambda r: (r["from"], r["to"])):
-                start, stop = max(x["from"], at), x["to"]
-                if stop > at:
-                    spans += x["from"] > last
-                    kept.append(raw[at:start])
-                    removed += stop - start
-                    at = last = stop
+            removed = _union((r["from"], r["to"]) for r in runs or () if r["gone"])
+            shared = _union((r["from"], r["to"]) for r in runs or () if not r["gone"])
+            kept, at = [], 0
+            for start, stop in removed:
+                kept.append(raw[at:start])
+                at = stop
             kept.append(raw[at:])
             rest = b"".join(kept)
-            out.append((doc, len(raw), removed, spans, hashlib.sha256(rest).hexdigest(), rest))
+            out.append((doc, len(raw), sum(e - s for s, e in removed), len(removed), hashlib.sha256(rest).hexdigest(), sum(e - s for s, e in shared), rest))
         if out:
-            yield _rows(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], [pa.int64()] * 4 + [pa.string(), pa.binary()])
+            yield _rows(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "kept"], [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, chunk_bytes: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _union(spans) -> list[tuple[int, int]]:
+    """Maximal runs that the spans cover together."""
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], stop)
+        else:
+            out.append((start, stop))
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 256, gram: int = 32, chunk_bytes: int = 2_000_000, hash_bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts without the bytes of strings of ``length`` bytes that start more than once in all of them.
 
     Returns one row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed
-    runs), kept_sha256, kept (the remaining bytes).  A null text counts as empty.  Rows that
-    repeat a text lose all of it if it has ``length`` bytes.  A null id is carried along; an
-    empty table gives no rows; extra columns are not read.
+    runs), kept_sha256, n_shared (bytes in strings of ``passage`` bytes, about 50 words, that
+    also stand in another document, which stay if no longer string repeats), kept (the
+    remaining bytes).  A null text counts as empty.  Rows that repeat a text lose all of it
+    if it has ``length`` bytes; rows with the same id and text are one document for
+    ``n_shared``.  ``hash_bits`` are the bits of the first content hash.  A null id is carried along; an empty table gives no rows; extra columns
+    are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("text")).cast("binary"))))
-    segments = stage(base.select("key", "text").mapInArrow(_segments(length, gram), "key binary, at long, windows long, anchor long, content long, folds boolean"), "suffix-segments")
-    contents = stage(segments.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows"), F.max("folds").alias("folds")), "suffix-contents")
-    anchors = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("folds").alias("folds"), F.sum(F.col("windows") + length - 1).alias("bytes"))
-    hard = stage(anchors.where((F.col("kinds") > 1) | F.col("folds")).select("anchor", F.ceil(F.col("bytes") / chunk_bytes).cast("int").alias("chunks")), "suffix-hard")
-    sent = docs.sparkSession.sparkContext.broadcast(AnchorFilter.build(hard.select("anchor")))
-    found = base.select("text").mapInArrow(_contexts(length, gram, sent), "anchor long, content long, bytes binary")
-    partial = stage(_shard_search(found, hard, length, chunk_bytes), "suffix-found")
-    # Shards of one minimizer report apart; a content that occurs twice is repeated as a whole.
-    again = contents.where("n > 1").select("anchor", "content", F.array(F.lit(0).cast("long"), F.col("windows") + length - 1).alias("runs"))
-    covered = again.unionByName(partial.join(again.select("anchor", "content"), ["anchor", "content"], "left_anti"))
-    steps = F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1)
-    spans = F.transform(steps, lambda i: F.struct((F.col("at") + F.col("runs")[i * 2]).alias("from"), (F.col("at") + F.col("runs")[i * 2 + 1]).alias("to")))
-    hits = segments.join(covered, ["anchor", "content"]).where(F.size("runs") > 0).select("key", F.explode(spans).alias("r"))
-    per_text = hits.groupBy("key").agg(F.collect_set("r").alias("runs"))
-    return base.join(per_text, "key", "left").select("doc_id", "text", "runs").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def _shard_search(found: DataFrame, hard: DataFrame, length: int, chunk_bytes: int, most: int = 50_000) -> DataFrame:
+    for salt in range(8):
+        try:
+            runs = _runs(base, length, passage, gram, chunk_bytes, salt, hash_bits)
+            break
+        except CollisionError:
+            continue
+    else:
+        raise RuntimeError("every hash of contents collided")
+    return base.join(runs, "key", "left").select("doc_id", "text", "runs").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, kept binary")
+
+
+def _runs(base: DataFrame, length: int, passage: int, gram: int, chunk_bytes: int, salt: int, hash_bits: int) -> DataFrame:
+    """(key, runs) of texts with something to remove or shared; raises CollisionError."""
+    short, reach = min(length, passage), max(length, passage)
+    segments = base.select("key", "text").mapInArrow(_segments(short, reach, gram, salt, hash_bits), "key binary, at long, windows long, stop long, anchor long, content long, folds boolean")
+    segments = stage(segments, "suffix-segments")
+    times = F.least(F.col("n"), F.lit(2))
+    contents = segments.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("stop") - F.col("at")).alias("size"), F.max("folds").alias("folds"))
+    anchors = contents.groupBy("anchor").agg(F.sum("n").alias("n"), F.max("folds").alias("folds"), F.sum(times * F.col("size")).alias("bytes"))
+    hard = stage(anchors.where((F.col("n") > 1) | F.col("folds")).select(F.col("anchor").alias("hard"), F.ceil(F.col("bytes") / chunk_bytes).cast("int").alias("chunks")), "suffix-hard")
+    met = segments.drop("folds").join(hard.hint("merge"), F.col("anchor") == F.col("hard")).drop("hard")
+    met = stage(met, "suffix-met")
+    per_text = met.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("at", "windows", "stop", "anchor", "content")).alias("segments"))
+    cut = base.join(per_text.hint("merge"), F.col("key") == F.col("k")).select(F.xxhash64("key").alias("doc"), "text", "segments")
+    parts = cut.mapInArrow(_cut_out(), "anchor long, content long, windows long, doc long, bytes binary")
+    found = stage(_shard_search(parts, hard, length, passage, chunk_bytes), "suffix-found")
+    if not found.where("removed is null").isEmpty():
+        raise CollisionError
+    found = found.select(F.col("anchor").alias("a"), F.col("content").alias("c"), "removed", "shared")
+
+    def spans(runs: str, gone: bool):
+        steps = F.sequence(F.lit(0), (F.size(runs) / 2).cast("int") - 1)
+        made = F.transform(steps, lambda i: F.struct((F.col("at") + F.col(runs)[i * 2]).alias("from"), (F.col("at") + F.col(runs)[i * 2 + 1]).alias("to"), F.lit(gone).alias("gone")))
+        return F.when(F.size(runs) > 0, made).otherwise(F.array().cast("array<struct<from:bigint,to:bigint,gone:boolean>>"))
+
+    hits = met.join(found.hint("merge"), (F.col("anchor") == F.col("a")) & (F.col("content") == F.col("c")))
+    hits = hits.select("key", F.explode(F.concat(spans("removed", True), spans("shared", False))).alias("r"))
+    return hits.groupBy("key").agg(F.collect_set("r").alias("runs"))
+
+
+def _shard_search(parts: DataFrame, hard: DataFrame, length: int, passage: int, chunk_bytes: int, most: int = 50_000) -> DataFrame:
     """Deal segments to shards; minimizers beyond ``chunk_bytes`` become several shards, searched two by two."""
-    spark = found.sparkSession
+    spark = parts.sparkSession
     large = hard.where("chunks > 1")
     if large.limit(most + 1).count() <= most:  # 16 bytes each: a size-checked broadcast
-        placed = found.join(F.broadcast(large), "anchor", "left")
-    else:
-        placed = found.join(large, "anchor", "left")
+        large = F.broadcast(large)
+    placed = parts.join(large, F.col("anchor") == F.col("hard"), "left")
     chunks = F.coalesce("chunks", F.lit(1))
     placed = placed.withColumn("chunk", F.pmod(F.col("content"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    pairs = placed.select("anchor", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "chunk", "content", "bytes")
-    dealt = pairs.repartition(shards(spark), "anchor", "left", "right").sortWithinPartitions("anchor", "left", "right")
-    return dealt.mapInArrow(_search(length, chunk_bytes), "anchor long, content long, runs array<long>")
+    pairs = placed.select("anchor", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "chunk", "content", "windows", "doc", "bytes")
+    dealt = pairs.repartition(shards(spark), "anchor", "left", "right").sortWithinPartitions("anchor", "left", "right", "content")
+    return dealt.mapInArrow(_search(length, passage, chunk_bytes), "anchor long, content long, removed array<long>, shared array<long>")

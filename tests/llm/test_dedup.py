@@ -122,31 +122,50 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def repeats(texts, length):
+def repeats(texts, length, passage):
     raw = {d: t.encode() for d, t in texts.items()}
     seen = Counter(p[i : i + length] for p in raw.values() for i in range(len(p) - length + 1))
+    among = Counter(w for p in raw.values() for w in {p[i : i + passage] for i in range(len(p) - passage + 1)})
+
+    def covered(p, size, found):
+        mask = np.zeros(len(p) + 1, np.int64)
+        for i in range(len(p) - size + 1):
+            if found[p[i : i + size]] > 1:
+                mask[i] += 1
+                mask[i + size] -= 1
+        return np.cumsum(mask)[: len(p)] > 0
+
     out = {}
     for d, p in raw.items():
-        gone = np.zeros(len(p) + 1, np.int64)
-        for i in range(len(p) - length + 1):
-            if seen[p[i : i + length]] > 1:
-                gone[i] += 1
-                gone[i + length] -= 1
-        mask = np.cumsum(gone)[: len(p)] > 0
+        mask = covered(p, length, seen)
         kept = np.frombuffer(p, np.uint8)[~mask].tobytes()
-        out[d] = (len(p), int(mask.sum()), int((np.diff(np.r_[0, mask.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest())
+        out[d] = (len(p), int(mask.sum()), int((np.diff(np.r_[0, mask.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest(), int(covered(p, passage, among).sum()))
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "chunk"), [(400, 32, 3_000_000), (60, 12, 3_000_000), (60, 12, 700)])
-def test_repeats_equal_brute_force(spark, texts, length, gram, chunk):
+@pytest.mark.parametrize(("length", "passage", "gram", "chunk", "bits"), [(400, 256, 32, 2_000_000, 64), (60, 40, 12, 2_000_000, 64), (60, 40, 12, 700, 64), (40, 60, 12, 700, 64), (60, 40, 12, 5000, 1)])
+def test_repeats_equal_brute_force(spark, texts, length, passage, gram, chunk, bits):
     own = {d: t for d, t in texts.items() if d < 60}
     shared = prose(2, 60)
     own |= {1000 + i: prose(50 + i, 20) + " " + edited(shared, i % 4, i) + " " + prose(90 + i, 10) for i in range(12)}
-    own |= {2000: "ab" * 700, 2001: "x" * 1000, 2002: "line one of text\n" * 60, 2003: "é" * 300, 2004: shared, 2005: shared}
+    own |= {2000: "ab" * 700, 2001: "x" * 1000, 2002: "line one of text\n" * 60, 2003: "é" * 300, 2004: shared, 2005: shared, 2006: prose(7, 40) * 3, 2007: prose(8, 30) + "x" * 55}
     docs = spark.createDataFrame(list(own.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(docs, length, gram, chunk).collect()}
-    assert got == repeats(own, length)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_shared) for r in S.remove_repeats(docs, length, passage, gram, chunk, bits).collect()}
+    assert got == repeats(own, length, passage)
+
+
+def test_passages_of_over_50_words_are_seen(spark):
+    passage = prose(77, 51)
+    rows = [(i, f"{prose(500 + i, 60)} {passage} {prose(600 + i, 40)}") for i in range(6)] + [(100 + i, prose(700 + i, 150)) for i in range(6)] + [(200, "and so it said to all of them " * 40)]
+    got = {r.doc_id: r for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(passage) < 400 and all((got[d].n_shared > 0) == (d < 6) for d, _ in rows)
+    assert all(got[d].n_removed == 0 for d, _ in rows if d < 200) and got[200].n_removed > 0
+
+
+def test_repeated_rows_are_one_document_for_passages(spark):
+    t = prose(5, 120)
+    got = S.remove_repeats(spark.createDataFrame([(1, t)] * 5 + [(2, prose(6, 120))], "doc_id long, text string")).collect()
+    assert len(got) == 6 and [(r.n_removed > 0, r.n_shared) for r in got if r.doc_id == 1] == [(True, 0)] * 5
 
 
 def test_repeats_odd_rows(odd_docs, no_docs):
@@ -174,7 +193,16 @@ def test_merge_by_binary_search():
     r = random.Random(9)
     for _ in range(40):
         parts = ["".join(r.choice("ab\x00") for _ in range(r.randrange(60))).encode() for _ in range(6)]
-        left, right = parts[:3], parts[3:]
-        for found, own, other in zip(S.windows_in_both(left, right, 5), (left, right), (right, left), strict=True):
-            there = {p[i : i + 5] for p in other for i in range(len(p) - 4)}
-            assert [x.tolist() for x in found] == [[p[i : i + 5] in there for i in range(max(0, len(p) - 4))] for p in own]
+        docs = [r.randrange(3) for _ in parts]
+        counts = [max(0, len(p) - 4) for p in parts]
+        sides = [S.Shard(parts[k : k + 3], counts[k : k + 3], docs[k : k + 3], 9) for k in (0, 3)]
+        for one, other in (sides, sides[::-1]):
+            found, apart = one.found_in(other, 5)
+            where = {}
+            for side in sides:
+                for p, d in zip(side.parts, side.docs.tolist(), strict=True):
+                    for i in range(len(p) - 4):
+                        where.setdefault(p[i : i + 5], set()).add(d)
+            there = {p[i : i + 5] for p in other.parts for i in range(len(p) - 4)}
+            assert [x.tolist() for x in found] == [[p[i : i + 5] in there for i in range(max(0, len(p) - 4))] for p in one.parts]
+            assert [x.tolist() for x in apart] == [[p[i : i + 5] in there and len(where[p[i : i + 5]]) > 1 for i in range(max(0, len(p) - 4))] for p in one.parts]
