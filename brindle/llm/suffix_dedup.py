@@ -24,7 +24,8 @@ stands in another document.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,38 +39,41 @@ from .near_dedup import _mix, _power_tables
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``codes`` (values below 512) in order of their first ``depth`` symbols or more.
 
-    Larsson-Sadakane: after packing seven symbols, only groups that are still tied are
-    sorted again, by the rank of the suffix ``h`` places on; ``h`` doubles each round.
+    Larsson-Sadakane: after packing the first ``h`` symbols, only groups that are still tied
+    are sorted again, by the rank of the suffix ``h`` places on; ``h`` doubles each round.
     """
     n = len(codes)
-    padded = np.zeros(n + 7, np.uint64)
-    padded[:n] = codes
+    # As many symbols in a 63-bit key as the symbols that occur allow.
+    used = np.flatnonzero(np.bincount(codes, minlength=1))
+    dense = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.uint64)
+    dense[used] = np.arange(1, len(used) + 1)
+    bits = max(1, int(len(used)).bit_length())
+    h = 63 // bits
+    padded = np.zeros(n + h, np.uint64)
+    padded[:n] = dense[codes]
     key = np.zeros(n, np.uint64)
-    for k in range(7):
-        key = (key << np.uint64(9)) | padded[k : k + n]
-    sa = np.argsort(key)
+    for k in range(h):
+        key = (key << np.uint64(bits)) | padded[k : k + n]
+    sa = np.argsort(key).astype(np.int32)
     sorted_key = key[sa]
     new = np.r_[True, sorted_key[1:] != sorted_key[:-1]] if n else np.zeros(0, bool)
-    rank = np.zeros(n + 1, np.int64)  # the last entry, 0, stands for the end
+    del key, sorted_key, padded
+    rank = np.zeros(n + 1, np.int32)  # the last entry, 0, stands for the end
 
     def regroup(at: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Ranks of ``sa[at]`` from group starts, and which places are still tied."""
-        starts = np.flatnonzero(first)
-        number = at[starts] + 1  # a group is named by its first place
-        sizes = np.diff(np.r_[starts, len(at)])
-        rank[sa[at]] = np.repeat(number, sizes)
-        return np.repeat(sizes > 1, sizes)
-
-    at = np.arange(n)
-    tied = regroup(at, new)
-    h = 7
+        # A group is named by its first place.
+        rank[sa[at]] = np.maximum.accumulate(np.where(first, at + 1, 0))
+        return ~(first & np.r_[first[1:], True])
+
+    at = np.arange(n, dtype=np.int32)
+    tied = regroup(at, new) if n else new
     while h < depth:
         at = at[tied]
         if not len(at):
             break
         pos = sa[at]
-        own = rank[pos]
-        both = own * np.int64(n + 1) + rank[np.minimum(pos + h, n)]
+        both = (rank[pos].astype(np.int64) << 32) | rank[np.minimum(pos + h, n)]
         order = np.argsort(both)
         sa[at] = pos[order]
         both = both[order]
@@ -123,51 +127,68 @@ def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, ends - sizes
 
 
+@dataclass
+class Part:
+    """Bytes of a segment, its windows, and the first and last document that it was met in; ``again``: more than once."""
+
+    windows: int
+    raw: bytes
+    low: int
+    high: int
+    again: bool = False
+    side: int = 0
+
+    def meet(self, doc: int) -> None:
+        self.low, self.high, self.again = min(self.low, doc), max(self.high, doc), True
+
+
 class Shard:
-    """Suffix array and common prefixes over parts; windows start at the first ``counts`` places of each."""
+    """Suffix array and common prefixes over parts; windows start at the first places of each."""
 
-    def __init__(self, parts: list[bytes], counts: list[int], docs: list[int], cap: int):
-        self.parts, self.counts, self.docs = parts, counts, np.array(docs, np.int64)
-        self.codes, self.starts = _joined(parts)
-        sizes = np.array([len(p) + 1 for p in parts])
+    def __init__(self, parts: list[Part], cap: int):
+        self.parts = parts
+        self.codes, self.starts = _joined([p.raw for p in parts])
+        sizes = np.array([len(p.raw) + 1 for p in parts])
         self.owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
         place = np.arange(len(self.codes)) - self.starts[self.owner]
-        self.room = np.where(place < np.array(counts)[self.owner], sizes[self.owner] - 1 - place, -1).astype(np.int32)  # bytes behind each window start
+        counts = np.array([p.windows for p in parts])
+        self.room = np.where(place < counts[self.owner], sizes[self.owner] - 1 - place, -1).astype(np.int32)  # bytes behind each window start
         self.sa = suffix_array(self.codes, len(self.codes))  # Kasai needs the full order
         self.prefix = common_prefixes(self.codes, self.sa, cap)[self.sa]
+        self.met = np.array([(p.low, p.high, 1 + p.again) for p in parts], np.int64).reshape(-1, 3)
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(places in order, group of each, first and last document of each group); a group's windows are equal."""
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places in order, group of each; first and last document and number of each group); a group's windows are equal."""
         at = np.flatnonzero(self.room[self.sa] >= length)
         order = self.sa[at]
         if not len(at):
-            return order, at, at, at
+            return order, at, at, at, at
         # What two windows share is the least of the prefixes between them.
         shared = np.minimum.reduceat(self.prefix[: at[-1] + 1], at[:-1] + 1) if len(at) > 1 else np.zeros(0, np.int64)
         first = np.r_[True, shared < length]
-        docs = self.docs[self.owner[order]]
+        met = self.met[self.owner[order]]
         starts = np.flatnonzero(first)
-        return order, np.cumsum(first) - 1, np.minimum.reduceat(docs, starts), np.maximum.reduceat(docs, starts)
+        return order, np.cumsum(first) - 1, np.minimum.reduceat(met[:, 0], starts), np.maximum.reduceat(met[:, 1], starts), np.add.reduceat(met[:, 2], starts)
 
     def per_part(self, order: np.ndarray, hit: np.ndarray) -> list[np.ndarray]:
         flags = np.zeros(len(self.codes), bool)
         flags[order[hit]] = True
-        return [flags[s : s + c] for s, c in zip(self.starts.tolist(), self.counts, strict=True)]
+        return [flags[s : s + p.windows] for s, p in zip(self.starts.tolist(), self.parts, strict=True)]
 
     def repeats(self, length: int) -> list[np.ndarray]:
         """Per part, whether the window at each start occurs anywhere else."""
-        order, group, *_ = self.windows(length)
-        return self.per_part(order, np.bincount(group)[group] > 1 if len(order) else np.zeros(0, bool))
+        order, group, _, _, number = self.windows(length)
+        return self.per_part(order, (number > 1)[group])
 
     def shared(self, length: int) -> list[np.ndarray]:
         """Per part, whether the window at each start occurs in another document."""
-        order, group, low, high = self.windows(length)
-        return self.per_part(order, (low != high)[group] if len(order) else np.zeros(0, bool))
+        order, group, low, high, _ = self.windows(length)
+        return self.per_part(order, (low != high)[group])
 
     def found_in(self, other: Shard, length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Per part, whether each window occurs in ``other``, and whether there or here in another document."""
-        order, group, low, high = self.windows(length)
-        there, their_group, their_low, their_high = other.windows(length)
+        order, group, low, high, _ = self.windows(length)
+        there, their_group, their_low, their_high, _ = other.windows(length)
         # One window of each group is sought; all searches halve their range together.
         heads = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])] if len(order) else order
         place = _search_all(other.codes, there, self.codes, heads, length)
@@ -355,40 +376,38 @@ def _search(length: int, passage: int, chunk_bytes: int):
     cap = max(length, passage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # (minimizer, content): side, windows, bytes, one or two documents in which they stand
-        group: dict[tuple[int, int], tuple[int, int, bytes, list[int]]] = {}
-        batch: dict[tuple[int, int], tuple[int, int, bytes, list[int]]] = {}
+        group: dict[tuple[int, int], Part] = {}  # by minimizer and content
+        batch: dict[tuple[int, int], Part] = {}
         key, size = None, 0
 
-        def shard(of: dict) -> tuple[list[tuple[int, int]], Shard]:
-            rows = [(pair, windows, raw, doc) for pair, (_, windows, raw, docs) in of.items() for doc in docs]
-            return [r[0] for r in rows], Shard([r[2] for r in rows], [r[1] for r in rows], [r[3] for r in rows], cap)
-
-        def emit(pairs: list[tuple[int, int]], removed: list[np.ndarray], shared: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            rows, before = [], None
-            for pair, r, s in zip(pairs, removed, shared, strict=True):
-                if pair != before and (r.any() or s.any()):  # both places of recurring bytes find the same
-                    rows.append((*pair, _covered(r, length), _covered(s, passage)))
-                before = pair
+        def emit(pairs: Iterable[tuple[int, int]], removed: list[np.ndarray], shared: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            rows = [(*pair, _covered(r, length), _covered(s, passage)) for pair, r, s in zip(pairs, removed, shared, strict=True) if r.any() or s.any()]
             if rows:
                 yield _rows(rows, _FOUND, _FOUND_KINDS)
 
         def whole() -> Iterator[pa.RecordBatch]:
             if batch:
-                pairs, one = shard(batch)
-                yield from emit(pairs, one.repeats(length), one.shared(passage))
+                one = Shard(list(batch.values()), cap)
+                yield from emit(batch, one.repeats(length), one.shared(passage))
 
         def close() -> Iterator[pa.RecordBatch]:
+            nonlocal size
             if key is None:
                 return
             _, left, right = key
             if left == right:  # one shard; small ones share a suffix array
-                batch.update(group)
+                if len(group) == 1 and (p := next(iter(group.values()))).again:
+                    # The same bytes twice and nothing else, compared byte by byte: all windows are repeated.
+                    places = np.arange(p.windows)
+                    size -= len(p.raw)
+                    yield from emit(group, [places <= len(p.raw) - length], [(places <= len(p.raw) - passage) & (p.low != p.high)])
+                else:
+                    batch.update(group)
                 return
-            sides = [{p: v for p, v in group.items() if v[0] == side} for side in (left, right)]
+            sides = [{k: p for k, p in group.items() if p.side == side} for side in (left, right)]
             if all(sides):
-                (own, a), (others, b) = map(shard, sides)
-                for pairs, one, other in ((own, a, b), (others, b, a)):
+                a, b = (Shard(list(s.values()), cap) for s in sides)
+                for pairs, one, other in ((sides[0], a, b), (sides[1], b, a)):
                     removed, _ = one.found_in(other, length)
                     _, shared = one.found_in(other, passage)
                     yield from emit(pairs, removed, shared)
@@ -403,15 +422,12 @@ def _search(length: int, passage: int, chunk_bytes: int):
                         batch, size = {}, 0
                 known = group.get((anchor, content))
                 if known is None:
-                    group[anchor, content] = (chunk, windows, raw, [doc])
+                    group[anchor, content] = Part(windows, raw, doc, doc, side=chunk)
                     size += len(raw)
-                elif known[2] != raw:
+                elif known.raw != raw:
                     yield _rows([(anchor, content, None, None)], _FOUND, _FOUND_KINDS)
-                elif len(known[3]) < 2:
-                    known[3].append(doc)
-                    size += len(raw)
-                elif known[3][0] == known[3][1]:
-                    known[3][1] = doc
+                else:
+                    known.meet(doc)
         yield from close()
         yield from whole()
 
@@ -476,9 +492,8 @@ def _runs(base: DataFrame, length: int, passage: int, gram: int, chunk_bytes: in
     short, reach = min(length, passage), max(length, passage)
     segments = base.select("key", "text").mapInArrow(_segments(short, reach, gram, salt, hash_bits), "key binary, at long, windows long, stop long, anchor long, content long, folds boolean")
     segments = stage(segments, "suffix-segments")
-    times = F.least(F.col("n"), F.lit(2))
     contents = segments.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("stop") - F.col("at")).alias("size"), F.max("folds").alias("folds"))
-    anchors = contents.groupBy("anchor").agg(F.sum("n").alias("n"), F.max("folds").alias("folds"), F.sum(times * F.col("size")).alias("bytes"))
+    anchors = contents.groupBy("anchor").agg(F.sum("n").alias("n"), F.max("folds").alias("folds"), F.sum("size").alias("bytes"))
     hard = stage(anchors.where((F.col("n") > 1) | F.col("folds")).select(F.col("anchor").alias("hard"), F.ceil(F.col("bytes") / chunk_bytes).cast("int").alias("chunks")), "suffix-hard")
     met = segments.drop("folds").join(hard.hint("merge"), F.col("anchor") == F.col("hard")).drop("hard")
     met = stage(met, "suffix-met")

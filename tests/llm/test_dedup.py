@@ -194,15 +194,15 @@ def test_merge_by_binary_search():
     for _ in range(40):
         parts = ["".join(r.choice("ab\x00") for _ in range(r.randrange(60))).encode() for _ in range(6)]
         docs = [r.randrange(3) for _ in parts]
-        counts = [max(0, len(p) - 4) for p in parts]
-        sides = [S.Shard(parts[k : k + 3], counts[k : k + 3], docs[k : k + 3], 9) for k in (0, 3)]
+        rows = [S.Part(max(0, len(p) - 4), p, d, d) for p, d in zip(parts, docs, strict=True)]
+        sides = [S.Shard(rows[k : k + 3], 9) for k in (0, 3)]
         for one, other in (sides, sides[::-1]):
             found, apart = one.found_in(other, 5)
             where = {}
             for side in sides:
-                for p, d in zip(side.parts, side.docs.tolist(), strict=True):
-                    for i in range(len(p) - 4):
-                        where.setdefault(p[i : i + 5], set()).add(d)
-            there = {p[i : i + 5] for p in other.parts for i in range(len(p) - 4)}
-            assert [x.tolist() for x in found] == [[p[i : i + 5] in there for i in range(max(0, len(p) - 4))] for p in one.parts]
-            assert [x.tolist() for x in apart] == [[p[i : i + 5] in there and len(where[p[i : i + 5]]) > 1 for i in range(max(0, len(p) - 4))] for p in one.parts]
+                for p in side.parts:
+                    for i in range(p.windows):
+                        where.setdefault(p.raw[i : i + 5], set()).add(p.low)
+            there = {p.raw[i : i + 5] for p in other.parts for i in range(p.windows)}
+            assert [x.tolist() for x in found] == [[p.raw[i : i + 5] in there for i in range(p.windows)] for p in one.parts]
+            assert [x.tolist() for x in apart] == [[p.raw[i : i + 5] in there and len(where[p.raw[i : i + 5]]) > 1 for i in range(p.windows)] for p in one.parts]
