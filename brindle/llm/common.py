@@ -38,6 +38,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_anew(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with its long ``column`` as an expression, so that a join on it shuffles ``df`` by itself.
+
+    An aggregate that a join takes as it lies keeps adaptive execution from splitting
+    the join's hot partitions; after a shuffle of its own it can.
+    """
+    return df.withColumn(column, F.col(column).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def shards(spark: SparkSession, at_least: int = 1) -> int:
     """Number of hash shards for a Python-side operator: the session's shuffle partitions."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))

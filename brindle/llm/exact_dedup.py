@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, shards, stage
+from .common import ASCII_SPACE, dealt_anew, shards, stage
 
 _KEY = np.dtype("S32")
 _RUN = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64())])
@@ -174,38 +174,63 @@ def build_index(docs: DataFrame, memtable_rows: int = 200_000) -> DataFrame:
     return runs.repartition(shards(docs.sparkSession), "digest").mapInArrow(_merge(memtable_rows), "digest binary, keep_id long, n long")
 
 
+#: Stands for a missing id inside the index, so that any real one is smaller.
+_NO_ID = (1 << 63) - 1
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 200_000) -> DataFrame:
     """Groups of equal normalised texts.
 
     Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256.
     Null texts count as empty and form one group with empty ones.  A repeated row
     (same id, same text) counts in ``group_size`` and is kept with its twin, as both
-    carry the smallest id.  Rows with a null id are outside the result.  An empty
-    table gives an empty result; columns besides the two named are not read.
+    carry the smallest id.  A missing id is larger than any other: its row is dropped
+    if an equal text has an id, and otherwise kept with a null ``keep_id`` (the largest
+    64-bit number means a missing id as well).  An empty table gives an empty result;
+    columns besides the two named are not read.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out = _groups(base, F.col("text"), [], memtable_rows)
+    real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
+    return out.select(real("doc_id").alias("doc_id"), real("keep_id").alias("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 200_000) -> DataFrame:
+    """Rows of ``docs`` without exact copies: of equal normalised texts one row with the smallest id stays.
+
+    Whole rows travel with their digest, so texts are shuffled once.  Rows with the same
+    id and text leave one; rows without an id leave one if no equal text has an id.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm")).where("doc_id is not null")
-    base = base.withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    out = _groups(base, F.col("row")[text_col], ["row"], memtable_rows).where("doc_id = keep_id")
+    once = out.where("group_size = 1").select("row").unionByName(out.where("group_size > 1").dropDuplicates(["digest", "keep_id"]).select("row"))
+    return once.select("row.*")
+
+
+def _groups(base: DataFrame, text, carried: list[str], memtable_rows: int) -> DataFrame:
+    """(doc_id, keep_id, group_size, digest, *carried) of every row; missing ids are ``_NO_ID``."""
+    base = base.withColumns({"doc_id": F.coalesce("doc_id", F.lit(_NO_ID)), "digest": F.unhex(F.sha2(normalised(text).cast("binary"), 256))})
     index = build_index(base, memtable_rows)
     many = F.col("n") > 1
     # Texts travel once to their digest's shard; only those of real groups are kept for the byte check.
-    joined = stage(base.join(index, "digest").select("doc_id", "digest", "keep_id", "n", F.when(many, F.col("norm")).alias("norm")), "exact-hits")
-    alone = joined.where(~many).select("doc_id", "keep_id", F.col("n").alias("group_size"), "digest")
+    joined = stage(base.join(index, "digest").select("doc_id", "digest", "keep_id", "n", F.when(many, normalised(text)).alias("norm"), *carried), "exact-hits")
+    alone = joined.where(~many).select("doc_id", "keep_id", F.col("n").alias("group_size"), "digest", *carried)
     hits = joined.where(many)
-    keepers = hits.where("doc_id = keep_id").groupBy(F.col("doc_id").alias("keep_id"), "digest").agg(F.min("norm").alias("keep_norm"))
-    checked = hits.join(keepers, ["keep_id", "digest"]).select("doc_id", "keep_id", "n", "digest", (F.col("norm") == F.col("keep_norm")).alias("same"), F.when(F.col("norm") != F.col("keep_norm"), F.col("norm")).alias("norm"))
+    keepers = hits.where("doc_id = keep_id").groupBy("keep_id", "digest").agg(F.min("norm").alias("keep_norm"))
+    same = F.col("norm") == F.col("keep_norm")
+    checked = hits.join(dealt_anew(keepers, "keep_id"), ["keep_id", "digest"]).select("doc_id", "keep_id", "n", "digest", same.alias("same"), F.when(~same, F.col("norm")).alias("norm"), *carried)
     checked = stage(checked, "exact-checked")
-    same = checked.where("same").select("doc_id", "keep_id", F.col("n").alias("group_size"), "digest")
+    settled = checked.where("same").select("doc_id", "keep_id", F.col("n").alias("group_size"), "digest", *carried)
     if not checked.where("not same").isEmpty():
-        same = _split_collisions(checked)
-    out = alone.unionByName(same)
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        settled = _split_collisions(checked, carried)
+    return alone.unionByName(settled)
 
 
-def _split_collisions(checked: DataFrame) -> DataFrame:
+def _split_collisions(checked: DataFrame, carried: list[str]) -> DataFrame:
     """Different texts under one digest: each text becomes a group of its own."""
     other = checked.where("not same")
     groups = other.groupBy("digest", "norm").agg(F.min("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_n"))
-    moved = other.join(groups, ["digest", "norm"]).select("doc_id", F.col("own_keep").alias("keep_id"), F.col("own_n").alias("group_size"), "digest")
+    moved = other.join(groups, ["digest", "norm"]).select("doc_id", F.col("own_keep").alias("keep_id"), F.col("own_n").alias("group_size"), "digest", *carried)
     gone = other.groupBy("keep_id", "digest").agg(F.count(F.lit(1)).alias("gone"))
     stay = checked.where("same").join(gone, ["keep_id", "digest"], "left")
-    return stay.select("doc_id", "keep_id", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("group_size"), "digest").unionByName(moved)
+    return stay.select("doc_id", "keep_id", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("group_size"), "digest", *carried).unionByName(moved)

@@ -9,7 +9,9 @@
    families contain every true component, because any link shares a band (see `miss`).
 4. Inside a family, full sets are compared: from each member found, every member not yet
    reached is checked exactly, so no link is lost and no list of pairs is made.  A large
-   family is cut into chunks, and every pair of chunks is a task of bounded size.
+   family is cut into chunks, and every pair of chunks is a task of bounded size.  Sets
+   hold 64-bit hashes of shingles; among the k distinct shingles of a chunk pair, two
+   share a hash with a chance of about k * k / 2**65.
 5. The links found give the components.
 """
 
@@ -114,22 +116,11 @@ def _signatures(words: int, hasher: MinMaxHasher):
                 bands.append(hasher.band_keys(x) if len(x) else np.zeros(0, np.int64))
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
             offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in bands])].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "h", "n_shingles", "set_key", "bands"])
 
     return run
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = int(self.parent[i])
-        return i
-
-
 def link_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Component number (smallest index) of each set; links need 100 * |A & B| >= percent * |A | B|.
 
@@ -205,27 +196,55 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
 
     Returns one row per input row: doc_id, n_shingles, component_id (smallest id reachable),
     kept (doc_id = component_id).  A text without words (null, empty or blank) is linked with
-    nothing.  Rows that repeat an id are kept or dropped together; rows with a null id are
-    outside the result.  An empty table gives an empty result; extra columns are not read.
+    nothing.  Rows that repeat an id are kept or dropped together.  A row without an id can
+    only be told by its set: it is dropped for a row with an id and the same set, and else
+    kept, with a null component_id.  An empty table gives an empty result; extra columns are
+    not read.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    hasher = MinMaxHasher(bands, rows)
-    signed = stage(base.mapInArrow(_signatures(words, hasher), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "near-signatures")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    signed, classes, members = _candidates(base, words, MinMaxHasher(bands, rows))
+    # Members are many at scale, so the plan is the same at every size: a shuffled join.
+    texts = stage(base.join(members.hint("merge"), "doc_id").select("family", "doc_id", "text", F.length("text").cast("long").alias("size")), "near-members")
+    links = components(_family_links(texts, words, percent, chunk_chars, shards(docs.sparkSession)))
+    labels = classes.join(links.select(F.col("u").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    out = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
+    component = F.coalesce("component", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 8, chunk_chars: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that ``near_dedup`` keeps, whole.
+
+    Rows are shuffled once, to meet what is known of their id and text: those in no family
+    are decided there, and only members of families travel on.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    signed, classes, members = _candidates(base.select("doc_id", text.alias("text")), words, MinMaxHasher(bands, rows))
+    # A row stays in the race if it represents its class; without words, or without an id in the class, it stays for good.
+    known = signed.select("doc_id", "h", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key", "left")
+    known = known.where("rep is null or doc_id = rep").select(F.col("doc_id").alias("k"), F.col("h").alias("k_h"), F.when(F.col("rep").isNotNull(), F.col("doc_id")).alias("racer"))
+    known = known.join(members.select(F.col("doc_id").alias("racer"), "family"), "racer", "left")
+    met = base.withColumn("h", F.xxhash64(text)).join(known.hint("merge"), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("k_h")))
+    met = stage(met.select("doc_id", "row", "family"), "near-rows")
+    own = met.where("family is not null")
+    links = components(_family_links(own.select("family", "doc_id", text.alias("text"), F.length(text).cast("long").alias("size")), words, percent, chunk_chars, shards(docs.sparkSession)))
+    kept = own.join(links.select("u").hint("merge"), F.col("doc_id") == F.col("u"), "left_anti")
+    return met.where("family is null").select("row").unionByName(kept.select("row")).select("row.*")
+
+
+def _candidates(base: DataFrame, words: int, hasher: MinMaxHasher) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signatures of rows, classes of equal sets, members of families) of ``base(doc_id, text)``."""
+    signed = base.withColumn("h", F.xxhash64("text")).mapInArrow(_signatures(words, hasher), "doc_id long, h long, n_shingles long, set_key binary, bands array<long>")
+    signed = stage(signed, "near-signatures")
     # Every row of a class has the same bands, so the class keeps those of any row.
     classes = stage(signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "near-classes")
-    keyed = classes.select("rep", F.explode("bands").alias("band"))
+    keyed = classes.where("rep is not null").select("rep", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("band", "least")
     ties = keyed.join(shared, "band").where("rep != least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
     families = stage(components(ties), "near-families")  # u, component: every member but the first
     members = families.select(F.col("u").alias("doc_id"), F.col("component").alias("family")).unionByName(families.select(F.col("component").alias("doc_id"), F.col("component").alias("family")).distinct())
-    # Members are many at scale, so the plan is the same at every size: a shuffled join.
-    texts = stage(base.join(members.hint("merge"), "doc_id").select("family", "doc_id", "text", F.length("text").cast("long").alias("size")), "near-members")
-    links = components(_family_links(texts, words, percent, chunk_chars, shards(spark)))
-    labels = classes.join(links.select(F.col("u").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return signed, classes, members
 
 
 def _family_links(texts: DataFrame, words: int, percent: int, chunk_chars: int, n: int) -> DataFrame:

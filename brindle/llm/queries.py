@@ -78,8 +78,8 @@ _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 SQL: dict[str, str] = {
     "op9_exact_lsm_dedup": f"""
-        WITH n AS (SELECT doc_id, {_NORM} AS norm FROM documents WHERE doc_id IS NOT NULL)
+        WITH n AS (SELECT doc_id, {_NORM} AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+               doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)""",
 }

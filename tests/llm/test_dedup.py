@@ -67,10 +67,29 @@ def test_near_odd_rows(odd_docs, no_docs):
     rows = {r.doc_id: r for r in N.near_dedup(odd_docs).collect()}
     assert rows[5].component_id == 1 and not rows[5].kept
     assert all(rows[d].component_id == d and rows[d].n_shingles == 0 for d in (2, 3, 4))
-    assert rows[8].kept and None not in rows
+    assert rows[8].kept and rows[None].kept and rows[None].component_id is None
     assert N.near_dedup(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [24_000_000, 9_000])
+def test_rows_that_stay_equal_the_verdicts(spark, family, chunk):
+    docs = spark.createDataFrame([(d, t, "x") for d, t in family.items()], "doc_id long, text string, source string")
+    want = {d for d, (_, g) in near_components(family, 4).items() if d == g}
+    got = N.drop_near_copies(docs, words=4, chunk_chars=chunk)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
+def test_rows_that_stay_odd(spark, odd_docs, no_docs):
+    kept = N.drop_near_copies(odd_docs)
+    assert kept.columns == odd_docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, odd_docs.where("doc_id is null or doc_id != 5").collect()))
+    assert N.drop_near_copies(no_docs).count() == 0
+    rows = [(None, "a b c d e f"), (4, "a B c d e f"), (4, "other words than those of its namesake"), (9, "other words than those of its namesake"), (None, "a row of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in N.drop_near_copies(docs).collect()} == {rows[1], rows[2], rows[4]}
+    verdict = N.near_dedup(docs).collect()
+    assert len(verdict) == 5 and [r.kept for r in verdict if r.doc_id == 9] == [False] and sorted(r.kept for r in verdict if r.doc_id is None) == [False, True]
+
+
 def test_min_max_signature_estimates_similarity():
     h, rng = N.MinMaxHasher(), np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 1000, np.uint64)

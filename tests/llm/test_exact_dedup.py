@@ -20,7 +20,24 @@ def test_odd_rows(odd_docs, no_docs):
     assert (rows[5].keep_id, rows[5].group_size, rows[5].kept) == (1, 3, False)
     assert rows[2].keep_id == rows[3].keep_id == 2 and rows[2].group_size == 2
     assert rows[4].text_sha256 == hashlib.sha256(b" ").hexdigest()
-    assert None not in rows and E.exact_dedup(no_docs).count() == 0
+    assert rows[None].kept and rows[None].keep_id is None and E.exact_dedup(no_docs).count() == 0
+
+
+def test_rows_without_an_id(spark, duck):
+    rows = [(None, "a b"), (None, "a  b"), (7, "a\tb"), (None, "c"), (None, "c"), (3, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in E.exact_dedup(docs).collect())
+    want = [(None, 7, 3, False)] * 2 + [(7, 7, 3, True)] + [(None, None, 2, True)] * 2 + [(3, 3, 2, True), (None, 3, 2, False)]
+    assert got == sorted((str(d), str(k), n, x) for d, k, n, x in want)
+    assert sorted((r.doc_id is None, r.text) for r in E.drop_copies(docs.where("doc_id is null or doc_id = 7")).collect()) == [(False, "a\tb"), (True, ""), (True, "c")]
+
+
+def test_drop_copies_keeps_rows_whole(spark, odd_docs, no_docs):
+    twice = odd_docs.unionByName(odd_docs)
+    kept = E.drop_copies(twice)
+    assert kept.columns == odd_docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, odd_docs.where("doc_id is null or doc_id not in (3, 5)").collect()))
+    assert E.drop_copies(no_docs).count() == 0
 
 
 def digest(i: int) -> bytes:
@@ -54,7 +71,7 @@ def test_filter_has_no_false_negatives():
 def test_texts_that_share_a_digest_are_told_apart(spark):
     rows = [(1, 1, 4, "k", True, None), (2, 1, 4, "k", True, None), (3, 1, 4, "k", False, "x"), (4, 1, 4, "k", False, "x")]
     checked = spark.createDataFrame(rows, "doc_id long, keep_id long, n long, digest string, same boolean, norm string")
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in E._split_collisions(checked).collect()}
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in E._split_collisions(checked, []).collect()}
     assert got == {1: (1, 2), 2: (1, 2), 3: (3, 2), 4: (3, 2)}
 
 
