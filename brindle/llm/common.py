@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Scratch tables of this process, in the order in which they were made.
+_made: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
@@ -35,9 +39,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Delete the scratch tables made since ``tables_made()`` was ``since``, but for ``keep``; nothing may read them afterwards."""
+    kept = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()} if keep is not None else set()
+    for path in _made[since:]:
+        if path.rsplit("/", 1)[-1] not in kept:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _made[since:] = [p for p in _made[since:] if p.rsplit("/", 1)[-1] in kept]
+
+
+def tables_made() -> int:
+    return len(_made)
+
+
 def dealt_anew(df: DataFrame, column: str) -> DataFrame:
     """``df`` with its long ``column`` as an expression, so that a join on it shuffles ``df`` by itself.
 

@@ -17,9 +17,11 @@ items are verified on shingles: enough of the question and of the answer must be
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -27,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -61,41 +65,52 @@ class Item:
     answer: list[str]
 
 
+def segment_sizes(n: int, cell: int) -> list[int]:
+    """Words in each of the even segments of at most ``cell`` words."""
+    parts = -(-n // cell)
+    return [(j + 1) * n // parts - j * n // parts for j in range(parts)]
+
+
+@dataclass
+class Corpus:
+    """Statistics of all items, whichever index holds them."""
+
+    df: dict[str, int]  # segments with each term
+    segments: int
+    mean: float
+
+
 class Bm25Index:
     """Inverted index with block maxima over item segments; weights are shares of a segment's own score."""
 
-    def __init__(self, items: list[tuple[int, str]], cell: int = 64, k1: float = 1.2, b: float = 0.75, block: int = 8):
+    def __init__(self, items: list[tuple[int, str]], cell: int = 64, k1: float = 1.2, b: float = 0.75, block: int = 8, corpus: Corpus | None = None):
         self.cell, self.block = cell, block
         self.items = [Item(i, *question_and_answer(t)) for i, t in items]
-        self.segment_item: list[int] = []
-        bags: list[Counter] = []
+        self.term_id: dict[str, int] = {}
+        flat, sizes, owners = array("q"), [], []
         for k, (_, text) in enumerate(items):
-            w = words(text)
-            n = -(-len(w) // cell)
-            for j in range(n):
-                bags.append(Counter(w[j * len(w) // n : (j + 1) * len(w) // n]))
-                self.segment_item.append(k)
-        df = Counter(t for bag in bags for t in bag)
-        mean = sum(sum(bag.values()) for bag in bags) / max(1, len(bags))
-        self.term_id = {t: j for j, t in enumerate(sorted(df))}
-        rows = []
-        for s, bag in enumerate(bags):
-            size = sum(bag.values())
-            # A term counts once in a passage, so the segment's own score counts it once too.
-            w = {t: np.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * size / mean)) for t, f in bag.items()}
-            own = sum(w.values())
-            rows += [(self.term_id[t], s, v / own) for t, v in w.items()]
-        rows.sort()
-        term = np.array([r[0] for r in rows], np.int64)
-        self.segment = np.array([r[1] for r in rows], np.int64)
-        self.weight = np.array([r[2] for r in rows], np.float64)
-        self.blocks = max(1, -(-len(bags) // block))
+            listed = words(text)
+            flat.extend([self.term_id.setdefault(w, len(self.term_id)) for w in listed])
+            sizes += segment_sizes(len(listed), cell)
+            owners += [k] * (len(sizes) - len(owners))
+        self.segment_item = owners
+        size = np.array(sizes, np.int64)
+        seg_of = np.repeat(np.arange(len(size)), size)
+        terms, segments = len(self.term_id), max(1, len(size))
+        # A term counts once in a passage, so the segment's own score counts it once too.
+        pair, f = np.unique(np.frombuffer(flat, np.int64) * segments + seg_of, return_counts=True)
+        term, self.segment = pair // segments, pair % segments
+        df, n, mean = np.bincount(term, minlength=terms).astype(np.float64), len(size), float(size.mean()) if len(size) else 1.0
+        if corpus:  # all items, of which this index holds some
+            df, n, mean = np.array([corpus.df[w] for w in self.term_id], np.float64), corpus.segments, corpus.mean
+        weight = np.log(1 + (n - df + 0.5) / (df + 0.5))[term] * f * (k1 + 1) / (f + k1 * (1 - b + b * size[self.segment] / mean)) if len(pair) else np.zeros(0)
+        self.weight = weight / np.bincount(self.segment, weight, segments)[self.segment] if len(pair) else weight
+        self.blocks = max(1, -(-len(size) // block))
         # Postings are in order of (term, segment), so those of a (term, block) are a range.
         key = term * self.blocks + self.segment // block
         self.key, self.key_first = np.unique(key, return_index=True)
         self.key_count = np.diff(np.r_[self.key_first, len(key)])
         self.key_max = np.maximum.reduceat(self.weight, self.key_first) if len(key) else np.zeros(0)
-        terms = len(self.term_id)
         self.term_first = np.searchsorted(self.key, np.arange(terms) * self.blocks)
         self.term_count = np.searchsorted(self.key, (np.arange(terms) + 1) * self.blocks) - self.term_first
         self.place = None  # of each (term, block) in the keys, while such a table is small
@@ -187,9 +202,9 @@ def _passages(index: Bm25Index, texts: list[list[str]]) -> tuple[np.ndarray, np.
     return pairs // n, pairs % n, base
 
 
-def leaks(index: Bm25Index, texts: list[str], threshold: float, overlap: float) -> list[list[tuple[int, float, float, float]]]:
-    """Per text: (item_id, score, question overlap, answer overlap) of verified items."""
-    out: list[list[tuple[int, float, float, float]]] = [[] for _ in texts]
+def leaks(index: Bm25Index, texts: list[str], threshold: float, overlap: float) -> list[list[tuple[int, float, float, float | None]]]:
+    """Per text: (item_id, score, question overlap, answer overlap) of verified items; an item of one sentence has no answer."""
+    out: list[list[tuple[int, float, float, float | None]]] = [[] for _ in texts]
     listed = [words(t) for t in texts]
     window, term, base = _passages(index, listed)
     w, s, score = index.search(window, term, threshold)
@@ -202,15 +217,16 @@ def leaks(index: Bm25Index, texts: list[str], threshold: float, overlap: float)
     for (d, k), places in sorted(found.items()):
         item = index.items[k]
         seen: set[tuple[str, ...]] = set()
-        near: set[str] = set()
         for c, _ in places:  # the passage and a cell on either side
-            part = listed[d][max(0, (c - 1) * index.cell) : (c + 3) * index.cell]
-            seen |= grams(part, min(5, max(1, len(item.question))))
-            near.update(part)
+            seen |= grams(listed[d][max(0, (c - 1) * index.cell) : (c + 3) * index.cell], min(5, max(1, len(item.question))))
         asked = grams(item.question)
         q = len(asked & seen) / max(1, len(asked))
-        a = len(near.intersection(item.answer)) / len(set(item.answer)) if item.answer else 1.0
-        if q >= overlap and a >= overlap:
+        if q < overlap:
+            continue
+        # An answer may stand anywhere in the document, so all of it is searched for its pairs of words.
+        pairs = grams(item.answer, 2)
+        a = len(pairs & grams(listed[d], min(2, len(item.answer)))) / len(pairs) if pairs else None
+        if a is None or a >= overlap:
             out[d].append((item.item_id, max(v for _, v in places), q, a))
     return out
 
@@ -218,41 +234,102 @@ def leaks(index: Bm25Index, texts: list[str], threshold: float, overlap: float)
 _OUT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def _scan(sent, threshold: float, overlap: float, batch_chars: int = 400_000):
+def _found(index: Bm25Index, texts: list[str], threshold: float, overlap: float, batch_chars: int = 400_000) -> Iterator[list[tuple]]:
+    """``leaks`` of each text, some texts at a time."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= batch_chars or i + 1 == len(texts):
+            yield from leaks(index, texts[start : i + 1], threshold, overlap)
+            start, size = i + 1, 0
+
+
+def _scan(sent, threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
         for b in batches:
-            docs, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            rows: list[tuple] = []
-            start = size = 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= batch_chars or i + 1 == len(texts):
-                    for d, found in zip(docs[start : i + 1], leaks(index, texts[start : i + 1], threshold, overlap), strict=True):
-                        rows += [(d, *hit) for hit in found]
-                    start, size = i + 1, 0
+            texts = b.column("text").to_pylist()
+            rows = [(d, *hit) for d, found in zip(b.column("doc_id").to_pylist(), _found(sent.value, texts, threshold, overlap), strict=True) for hit in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
     return run
 
 
+def _clean(sent, threshold: float, overlap: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean = [not found for found in _found(sent.value, b.column("text").to_pylist(), threshold, overlap)]
+            yield b.select(["row"]).filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
+def _item_terms(cell: int):
+    """Segments that hold each term of an item; a row without a term has the item's segments and words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            df: Counter = Counter()
+            segments = total = 0
+            for text in b.column("text").to_pylist():
+                listed, at = words(text), 0
+                for n in segment_sizes(len(listed), cell):
+                    df.update(set(listed[at : at + n]))
+                    at += n
+                    segments += 1
+                total += len(listed)
+            yield pa.RecordBatch.from_arrays([pa.array([*df, None], pa.string()), pa.array([*df.values(), segments], pa.int64()), pa.array([0] * len(df) + [total], pa.int64())], ["term", "n", "words"])
+
+    return run
+
+
+def _indexes(items: DataFrame, items_per_index: int, cell: int = 64) -> Iterator[Bm25Index]:
+    """Indexes of at most ``items_per_index`` items each, weighted by the statistics of all items."""
+    usable = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    parts = max(1, -(-usable.count() // items_per_index))
+    if parts > 1:
+        # Hash parts are uneven by a little; a tenth more of them keeps each within the bound.
+        parts += -(-parts // 10)
+        usable = stage(usable, "leak-items")
+        terms = stage(usable.select("text").mapInArrow(_item_terms(cell), "term string, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "leak-terms")
+        whole = terms.where("term is null").first()
+    for p in range(parts):
+        own = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
+        corpus = None
+        if parts > 1:
+            used = own.select("text").mapInArrow(_item_terms(cell), "term string, n long, words long").select("term").distinct()
+            corpus = Corpus({r["term"]: r["n"] for r in terms.join(used, "term").collect()}, whole["n"], whole["words"] / max(1, whole["n"]))
+        rows = own.orderBy("item_id", "text").collect()
+        yield Bm25Index([(r["item_id"], r["text"]) for r in rows], cell, corpus=corpus)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, items_per_index: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified leaks, one row per (document row, item): doc_id, item_id, score, question_overlap, answer_overlap.
 
-    ``items`` has item_id and text.  An index holds ``items_per_index`` items at most, since
-    it is broadcast; more items make more indexes, and the documents are read once for each.
+    ``items`` has item_id and text; all sentences but the last are the question, the last
+    is the answer.  An item of one sentence has no answer: its answer_overlap is null and
+    the question decides.  Question overlap counts 5-word shingles in the retrieved
+    passages and a cell around them, answer overlap pairs of words in the whole document.
+    An index holds ``items_per_index`` items at most, since it is broadcast; more items make
+    more indexes with common statistics, and the documents are read once for each.
     Null and empty texts and items match nothing; repeated rows are reported each; a null
     doc_id is carried along; empty tables give no rows; extra columns are not read.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    usable = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    parts = max(1, -(-usable.count() // items_per_index))
-    out = None
-    for p in range(parts):
-        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast(Bm25Index([(r["item_id"], r["text"]) for r in rows]))
-        found = base.mapInArrow(_scan(sent, threshold, overlap), _OUT)
-        out = found if out is None else out.unionByName(found)
-    return out
+    send = docs.sparkSession.sparkContext.broadcast
+    found = [base.mapInArrow(_scan(send(index), threshold, overlap), _OUT) for index in _indexes(items, items_per_index)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, items_per_index: int = 50_000, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, whole, in which ``contaminated`` finds nothing.
+
+    Rows pass through the search, so nothing is shuffled, and each is judged by its own
+    text, whatever its id.
+    """
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    kind = f"row {out.schema['row'].dataType.simpleString()}"
+    for index in _indexes(items, items_per_index):
+        rows = out.select("row", F.coalesce(F.col("row")[text_col], F.lit("")).alias("text"))
+        out = rows.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(index), threshold, overlap), kind)
+    return out.select("row.*")

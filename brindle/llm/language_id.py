@@ -187,10 +187,10 @@ def fit(docs: DataFrame, per_language: int = 2500, max_grams: int = 150_000, tot
     return filters
 
 
-_OUT = "doc_id long, held_out boolean, lang_pred string, score double, explained double"
+_OUT = "lang_pred string, score double, explained double"
 
 
-def _predict(filters):
+def _predict(filters, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = filters.value
         for b in batches:
@@ -198,7 +198,7 @@ def _predict(filters):
             for rows in _groups(texts):
                 lang, score, explained = model.predict(texts[rows])
                 part = b.slice(rows.start, rows.stop - rows.start)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(explained)], ["doc_id", "held_out", "lang_pred", "score", "explained"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, carried), pa.array(lang, pa.string()), pa.array(score), pa.array(explained)], [*carried, "lang_pred", "score", "explained"])
 
     return run
 
@@ -232,4 +232,22 @@ def identify(docs: DataFrame, filters: LanguageFilters | None = None, id_col: st
     if filters is None:
         filters = fit(base.where(~held_out() & F.col("doc_id").isNotNull()))
     sent = docs.sparkSession.sparkContext.broadcast(filters)  # at most table_bytes at any size of input
-    return base.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(_predict(sent), _OUT)
+    rows = base.select("doc_id", held_out().alias("held_out"), "text")
+    return rows.mapInArrow(_predict(sent, ["doc_id", "held_out"]), f"doc_id long, held_out boolean, {_OUT}")
+
+
+def drop_unexplained(docs: DataFrame, least: float = 0.3, filters: LanguageFilters | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows of ``docs``, whole, with a letter and a language that explains ``least`` of their n-grams.
+
+    Rows pass through the prediction, so nothing is shuffled, and each is judged by its own
+    text, whatever its id.  If no language can be learned nothing is known, and all stay.
+    """
+    if filters is None:
+        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+        filters = fit(base.where(~held_out() & F.col("doc_id").isNotNull()))
+    if not filters.languages:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    judged = rows.mapInArrow(_predict(sent, ["row"]), f"row {rows.schema['row'].dataType.simpleString()}, {_OUT}")
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("explained") >= least)).select("row.*")

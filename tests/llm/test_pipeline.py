@@ -3,9 +3,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from brindle.llm.common import stage
+from brindle.llm.common import stage, sweep, tables_made
 from tests.llm.conftest import prose
 from tests.llm.test_dedup import near_components
 
@@ -36,5 +38,26 @@ def test_stages_take_effect(spark, sf_dir, tmp_path):
 
 
 def test_run_equals_its_stages(spark, sf_dir):
-    assert P.run(spark, sf_dir).count() > 0
-    assert 4 <= len(P.STAGES) <= 5
+    made = tables_made()
+    out = P.run(spark, sf_dir)
+    assert out.count() > 0 and tables_made() - made == 2  # the last stage's documents and ids
+    sweep(spark, made)
+    assert tables_made() == made and 4 <= len(P.STAGES) <= 5
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_stages_take_odd_rows(spark, sf_dir, odd_docs, no_docs, name):
+    step = dict(P.STAGES)[name]
+    extra = odd_docs.selectExpr("*", "0.5 AS score", "'s' AS spans", "true AS held_out", "'x' AS lang_pred", "1 AS rep", "2 AS row", "3 AS k", "4 AS explained", "5 AS chunks", "6 AS doc")
+    rows = step(spark, extra, sf_dir).collect()
+    assert step(spark, no_docs, sf_dir).count() == 0
+    if name == "packing":
+        assert sum(r.start == 0 for r in rows) == 11
+        return
+    gone = {"language": {2, 3, 4, 7}, "exact": {3}, "near": set(), "leaks": set()}[name]
+    want = [r for r in extra.collect() if r.doc_id not in gone]
+    if name in ("exact", "near"):
+        want = [r for r in want if r.doc_id != 5]
+    assert sorted(map(str, rows)) == sorted(map(str, want))
+    nothing = step(spark, extra.withColumn("lang", F.lit(None).cast("string")).withColumn("text", F.lit(None).cast("string")), sf_dir).count()
+    assert nothing == {"language": 11, "exact": 1, "near": 11, "leaks": 11}[name]
