@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, shards, stage
+from .common import scratch_dir, shards, stage, worker
 from .packing import _slices
 from .tokens import END_ID, encoder
 
@@ -192,6 +192,7 @@ def decode_range(block: Block, table: FrequencyTable, start: int, stop: int) ->
 
 
 def _tokenized(path: str, mode: str):
+    @worker("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, mode)
         end = np.array([END_ID], enc.dtype).tobytes()
@@ -205,6 +206,7 @@ def _tokenized(path: str, mode: str):
 
 
 def _histogram(width: int, vocabulary: int):
+    @worker("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, np.int64)
         for b in batches:
@@ -219,6 +221,7 @@ def _histogram(width: int, vocabulary: int):
 def _encode(width: int, table: FrequencyTable, block_tokens: int):
     """Rows in order; a block knows how many tokens of its part stand before it."""
 
+    @worker("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
@@ -249,6 +252,7 @@ def _encode(width: int, table: FrequencyTable, block_tokens: int):
 
 
 def _decode(sent):
+    @worker("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bases = sent.value
         for b in batches:

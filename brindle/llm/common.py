@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +17,39 @@ from pyspark.sql import functions as F
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: What frees the tables that a Python worker keeps between tasks, by the kind of work that they serve.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def worker(kind: str):
+    """Marks the body of a Python task.  Workers are reused: at its start a task frees what
+    work of another kind has kept in its process, and at its end memory goes back to the system."""
+
+    def mark(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+        @functools.wraps(run)
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for other, free in KEPT.items():
+                if other != kind:
+                    free()
+            give_back()
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+
+        return marked
+
+    return mark
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 #: Scratch tables of this process, in the order in which they were made.
 _made: list[str] = []
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, worker
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -245,6 +245,7 @@ def _found(index: Bm25Index, texts: list[str], threshold: float, overlap: float,
 
 
 def _scan(sent, threshold: float, overlap: float):
+    @worker("leaks")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
@@ -256,6 +257,7 @@ def _scan(sent, threshold: float, overlap: float):
 
 
 def _clean(sent, threshold: float, overlap: float):
+    @worker("leaks")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             clean = [not found for found in _found(sent.value, b.column("text").to_pylist(), threshold, overlap)]
@@ -267,6 +269,7 @@ def _clean(sent, threshold: float, overlap: float):
 def _item_terms(cell: int):
     """Segments that hold each term of an item; a row without a term has the item's segments and words."""
 
+    @worker("leaks")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             df: Counter = Counter()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, dealt_anew, shards, stage
+from .common import ASCII_SPACE, dealt_anew, shards, stage, worker
 
 _KEY = np.dtype("S32")
 _RUN = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64())])
@@ -135,6 +135,7 @@ def _keys(column: pa.Array) -> np.ndarray:
 
 
 def _memtables(memtable_rows: int):
+    @worker("exact")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pre-aggregates a map task; sorted runs leave whenever the memtable is full."""
         table: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -153,6 +154,7 @@ def _memtables(memtable_rows: int):
 
 
 def _merge(memtable_rows: int):
+    @worker("exact")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = LsmIndex(memtable_rows)
         for b in batches:

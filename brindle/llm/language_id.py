@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_bucket, stage
+from .common import ascii_bucket, stage, worker
 
 UNDETERMINED = "und"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -125,6 +125,7 @@ class LanguageFilters:
         return [self.languages[j] if k else UNDETERMINED for j, k in zip(order[:, 0], known, strict=True)], np.clip(score, 0, 1), np.where(known, np.minimum(best, 1.0), 0.0)
 
 
+@worker("language")
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of some texts at a time, so that memory does not follow the size of a batch."""
     for b in batches:
@@ -191,6 +192,7 @@ _OUT = "lang_pred string, score double, explained double"
 
 
 def _predict(filters, carried: list[str]):
+    @worker("language")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = filters.value
         for b in batches:
@@ -203,7 +205,7 @@ def _predict(filters, carried: list[str]):
     return run
 
 
-def _groups(texts: list[str], limit: int = 500_000) -> Iterator[slice]:
+def _groups(texts: list[str], limit: int = 200_000) -> Iterator[slice]:
     """Slices of about ``limit`` characters, of one text at least."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shards, stage
+from .common import KEPT, shards, stage, worker
 from .components import components
 
 _FOLD = bytes(32 if b in b"\t\n\x0b\x0c\r " else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -45,6 +45,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def _forget_powers() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+KEPT["near"] = _forget_powers
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -106,6 +113,7 @@ class MinMaxHasher:
 
 
 def _signatures(words: int, hasher: MinMaxHasher):
+    @worker("near")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, keys, bands = [], [], []
@@ -165,6 +173,7 @@ def _link_chunk(words: int, percent: int):
         label = link_sets([shingles(texts[i], words) for i in order], percent)
         return [(ids[order[i]], ids[order[int(j)]]) for i, j in enumerate(label) if i != j]
 
+    @worker("near")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, texts, out = None, [], [], []
 

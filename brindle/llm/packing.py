@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, worker
 from .tokens import END_ID, encoder
 
 _STAGED = "part int, seq long, doc_id long, before long, n_tokens long, ids binary"
@@ -28,6 +28,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def tokenized(path: str, mode: str, end_id: int | None = END_ID):
     """mapInArrow body: (doc_id, text) to ids, with running totals inside the partition."""
 
+    @worker("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, mode)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
@@ -61,6 +62,7 @@ def part_offsets(staged: DataFrame) -> dict[int, int]:
 
 
 def _cut(window: int, width: int, bases):
+    @worker("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = bases.value
         for b in batches:

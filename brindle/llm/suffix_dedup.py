@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shards, stage
+from .common import shards, stage, worker
 from .near_dedup import _mix, _power_tables
 
 
@@ -282,6 +282,7 @@ def _bytes(text: str) -> np.ndarray:
 
 
 def _segments(short: int, reach: int, gram: int, salt: int, hash_bits: int):
+    @worker("suffix")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, parts, size = [], [], 0
@@ -311,6 +312,7 @@ _PART_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 def _cut_out(remember: int = 20_000):
     """Bytes of a text's segments.  A task sends equal bytes twice, and once more if only then in another text."""
 
+    @worker("suffix")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], list] = {}  # (minimizer, content): bytes, document, times sent, in two documents
         for b in batches:
@@ -375,6 +377,7 @@ def _search(length: int, passage: int, chunk_bytes: int):
     """
     cap = max(length, passage)
 
+    @worker("suffix")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: dict[tuple[int, int], Part] = {}  # by minimizer and content
         batch: dict[tuple[int, int], Part] = {}

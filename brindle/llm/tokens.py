@@ -23,6 +23,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import KEPT
+
 #: Id that ends each document in the contracts of packing and binary output.
 END_ID = 2
 
@@ -187,3 +189,6 @@ class PieceEncoder:
 def encoder(path: str, mode: str) -> PieceEncoder:
     """The worker process's encoder: what one task has learned serves the next."""
     return PieceEncoder(path, mode)
+
+
+KEPT["tokens"] = encoder.cache_clear

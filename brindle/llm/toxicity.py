@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_bucket
+from .common import ascii_bucket, worker
 from .trees import BoostedTrees, platt, sigmoid
 
 _WORD = re.compile(r"\w+")
@@ -199,6 +199,7 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hit_rows(terms: list[str]):
+    @worker("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = HitTable(LexiconAutomaton(terms))
         for b in batches:
@@ -282,6 +283,7 @@ _OUT = "doc_id long, held_out boolean, score double, predicted int, n_hits long,
 
 
 def _score(sent):
+    @worker("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         table = HitTable(LexiconAutomaton(model.terms))
