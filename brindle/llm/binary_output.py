@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, shards, stage, worker
+from .common import in_arrow, scratch_dir, shards, stage, worker
 from .packing import _slices
 from .tokens import END_ID, encoder
 
@@ -279,10 +279,10 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str =
     spark = docs.sparkSession
     path = (path or f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}").rstrip("/")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    staged = stage(base.mapInArrow(_tokenized(tokenizer, mode), "doc_id long, n_tokens long, ids binary"), "token-ids")
+    staged = stage(base.transform(in_arrow, _tokenized(tokenizer, mode), "doc_id long, n_tokens long, ids binary"), "token-ids")
     enc = encoder(tokenizer, mode)
     counts = np.zeros(enc.vocabulary, np.int64)
-    for r in staged.select("ids").mapInArrow(_histogram(enc.width, enc.vocabulary), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+    for r in staged.select("ids").transform(in_arrow, _histogram(enc.width, enc.vocabulary), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         counts[r["symbol"]] = r["n"]  # a row for each id of the vocabulary at most
     table = FrequencyTable(counts)
     some = np.flatnonzero(table.freq)
@@ -291,7 +291,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str =
     # The hash lets a range boundary fall between rows of one id.
     order = ["doc_id", F.xxhash64("ids")]
     ordered = staged.repartitionByRange(shards(spark), *order).sortWithinPartitions(*order, "ids")
-    ordered.mapInArrow(_encode(enc.width, table, block_tokens), "part int, n_tokens long, block binary").write.parquet(f"{path}/blocks")
+    ordered.transform(in_arrow, _encode(enc.width, table, block_tokens), "part int, n_tokens long, block binary").write.parquet(f"{path}/blocks")
     blocks = spark.read.schema("part int, n_tokens long").parquet(f"{path}/blocks")
     blocks.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.parquet(f"{path}/parts")
     return path
@@ -314,4 +314,4 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         total += r["n_tokens"]
     sent = spark.sparkContext.broadcast((table, bases))  # a vocabulary and a number a part
     blocks = spark.read.schema("part int, block binary").parquet(f"{path}/blocks")
-    return blocks.mapInArrow(_decode(sent), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.transform(in_arrow, _decode(sent), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -104,6 +104,20 @@ def dealt_anew(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.col(column).bitwiseXOR(F.lit(0).cast("long")))
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of 2,000 rows, since texts are long.
+
+    Only Spark's default of 10,000 is replaced; another setting of the session stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_ROWS) == "10000":
+        conf.set(_BATCH_ROWS, "2000")
+    return df.mapInArrow(run, schema)
+
+
 def shards(spark: SparkSession, at_least: int = 1) -> int:
     """Number of hash shards for a Python-side operator: the session's shuffle partitions."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, worker
+from .common import in_arrow, stage, worker
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -294,13 +294,13 @@ def _indexes(items: DataFrame, items_per_index: int, cell: int = 64) -> Iterator
         # Hash parts are uneven by a little; a tenth more of them keeps each within the bound.
         parts += -(-parts // 10)
         usable = stage(usable, "leak-items")
-        terms = stage(usable.select("text").mapInArrow(_item_terms(cell), "term string, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "leak-terms")
+        terms = stage(usable.select("text").transform(in_arrow, _item_terms(cell), "term string, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "leak-terms")
         whole = terms.where("term is null").first()
     for p in range(parts):
         own = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
         corpus = None
         if parts > 1:
-            used = own.select("text").mapInArrow(_item_terms(cell), "term string, n long, words long").select("term").distinct()
+            used = own.select("text").transform(in_arrow, _item_terms(cell), "term string, n long, words long").select("term").distinct()
             corpus = Corpus({r["term"]: r["n"] for r in terms.join(used, "term").collect()}, whole["n"], whole["words"] / max(1, whole["n"]))
         rows = own.orderBy("item_id", "text").collect()
         yield Bm25Index([(r["item_id"], r["text"]) for r in rows], cell, corpus=corpus)
@@ -320,7 +320,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, over
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     send = docs.sparkSession.sparkContext.broadcast
-    found = [base.mapInArrow(_scan(send(index), threshold, overlap), _OUT) for index in _indexes(items, items_per_index)]
+    found = [base.transform(in_arrow, _scan(send(index), threshold, overlap), _OUT) for index in _indexes(items, items_per_index)]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -334,5 +334,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5,
     kind = f"row {out.schema['row'].dataType.simpleString()}"
     for index in _indexes(items, items_per_index):
         rows = out.select("row", F.coalesce(F.col("row")[text_col], F.lit("")).alias("text"))
-        out = rows.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(index), threshold, overlap), kind)
+        out = rows.transform(in_arrow, _clean(docs.sparkSession.sparkContext.broadcast(index), threshold, overlap), kind)
     return out.select("row.*")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, dealt_anew, shards, stage, worker
+from .common import ASCII_SPACE, dealt_anew, in_arrow, shards, stage, worker
 
 _KEY = np.dtype("S32")
 _RUN = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64())])
@@ -172,8 +172,8 @@ def normalised(text):
 
 def build_index(docs: DataFrame, memtable_rows: int = 200_000) -> DataFrame:
     """One row (digest, keep_id, n) per distinct ``digest`` of ``docs(doc_id, digest)``."""
-    runs = docs.select("doc_id", "digest").mapInArrow(_memtables(memtable_rows), "digest binary, keep_id long, n long")
-    return runs.repartition(shards(docs.sparkSession), "digest").mapInArrow(_merge(memtable_rows), "digest binary, keep_id long, n long")
+    runs = docs.select("doc_id", "digest").transform(in_arrow, _memtables(memtable_rows), "digest binary, keep_id long, n long")
+    return runs.repartition(shards(docs.sparkSession), "digest").transform(in_arrow, _merge(memtable_rows), "digest binary, keep_id long, n long")
 
 
 #: Stands for a missing id inside the index, so that any real one is smaller.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_bucket, stage, worker
+from .common import ascii_bucket, in_arrow, stage, worker
 
 UNDETERMINED = "und"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, per_language: int = 2500, max_grams: int = 150_000, tot
     shares = F.broadcast(sizes.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share")))  # a row a language
     drawn = F.crc32(F.concat(F.lit("language:"), F.col("doc_id").cast("string")).cast("binary")) < F.col("share") * float(1 << 32)
     texts = rows.join(shares, "lang").where(drawn).select("lang", "text")
-    counts = stage(texts.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).where("n > 1"), "language-grams")
+    counts = stage(texts.transform(in_arrow, _count_grams, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).where("n > 1"), "language-grams")
     # The least count that keeps at most `most` n-grams of each language, from how often each count occurs.
     cut: dict[str, int] = {}
     taken: dict[str, int] = {}
@@ -235,7 +235,7 @@ def identify(docs: DataFrame, filters: LanguageFilters | None = None, id_col: st
         filters = fit(base.where(~held_out() & F.col("doc_id").isNotNull()))
     sent = docs.sparkSession.sparkContext.broadcast(filters)  # at most table_bytes at any size of input
     rows = base.select("doc_id", held_out().alias("held_out"), "text")
-    return rows.mapInArrow(_predict(sent, ["doc_id", "held_out"]), f"doc_id long, held_out boolean, {_OUT}")
+    return rows.transform(in_arrow, _predict(sent, ["doc_id", "held_out"]), f"doc_id long, held_out boolean, {_OUT}")
 
 
 def drop_unexplained(docs: DataFrame, least: float = 0.3, filters: LanguageFilters | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -251,5 +251,5 @@ def drop_unexplained(docs: DataFrame, least: float = 0.3, filters: LanguageFilte
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(filters)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
-    judged = rows.mapInArrow(_predict(sent, ["row"]), f"row {rows.schema['row'].dataType.simpleString()}, {_OUT}")
+    judged = rows.transform(in_arrow, _predict(sent, ["row"]), f"row {rows.schema['row'].dataType.simpleString()}, {_OUT}")
     return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("explained") >= least)).select("row.*")

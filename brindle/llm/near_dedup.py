@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, shards, stage, worker
+from .common import KEPT, in_arrow, shards, stage, worker
 from .components import components
 
 _FOLD = bytes(32 if b in b"\t\n\x0b\x0c\r " else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -244,7 +244,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, bands:
 
 def _candidates(base: DataFrame, words: int, hasher: MinMaxHasher) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signatures of rows, classes of equal sets, members of families) of ``base(doc_id, text)``."""
-    signed = base.withColumn("h", F.xxhash64("text")).mapInArrow(_signatures(words, hasher), "doc_id long, h long, n_shingles long, set_key binary, bands array<long>")
+    signed = base.withColumn("h", F.xxhash64("text")).transform(in_arrow, _signatures(words, hasher), "doc_id long, h long, n_shingles long, set_key binary, bands array<long>")
     signed = stage(signed, "near-signatures")
     # Every row of a class has the same bands, so the class keeps those of any row.
     classes = stage(signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "near-classes")
@@ -266,4 +266,4 @@ def _family_links(texts: DataFrame, words: int, percent: int, chunk_chars: int,
     other = F.explode(F.sequence(F.lit(0), chunks - 1))
     pairs = placed.withColumn("other", other).select("family", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "doc_id", "text")
     grouped = pairs.repartition(n, "family", "left", "right").sortWithinPartitions("family", "left", "right")
-    return grouped.mapInArrow(_link_chunk(words, percent), "u long, v long")
+    return grouped.transform(in_arrow, _link_chunk(words, percent), "u long, v long")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, worker
+from .common import in_arrow, stage, worker
 from .tokens import END_ID, encoder
 
 _STAGED = "part int, seq long, doc_id long, before long, n_tokens long, ids binary"
@@ -96,6 +96,6 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", mode: str = "dro
     empty table gives no pieces; columns besides the two named are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    staged = stage(base.mapInArrow(tokenized(tokenizer, mode), _STAGED), "pack-ids")
+    staged = stage(base.transform(in_arrow, tokenized(tokenizer, mode), _STAGED), "pack-ids")
     bases = docs.sparkSession.sparkContext.broadcast(part_offsets(staged))
-    return staged.mapInArrow(_cut(window, encoder(tokenizer, mode).width, bases), _PIECES)
+    return staged.transform(in_arrow, _cut(window, encoder(tokenizer, mode).width, bases), _PIECES)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import in_arrow, worker
 from .trees import BoostedTrees, platt, sigmoid
 
 #: Order of kinds at equal starts; the first four are base kinds.
@@ -278,7 +279,7 @@ def sample_by_id(docs: DataFrame, rows: int) -> DataFrame:
 def fit(docs: DataFrame, sample_docs: int = 4000, sample_candidates: int = 20_000, precision: float = 0.95) -> PiiModel:
     """Model from constructed examples and at most ``sample_candidates`` candidates, in equal
     shares for the generators, of about ``sample_docs`` documents."""
-    rows = sample_by_id(docs, sample_docs).mapInArrow(_training_rows, "h string, kind int, label int, x array<double>")
+    rows = sample_by_id(docs, sample_docs).transform(in_arrow, _training_rows, "h string, kind int, label int, x array<double>")
     place = F.row_number().over(Window.partitionBy("kind").orderBy("h", "label"))
     drawn = rows.withColumn("place", place).where(F.col("place") <= sample_candidates // 4).drop("place").toPandas()
     own = pd.DataFrame([row for i, text in enumerate(_examples()) for row in _labelled(f"example {i}", text)], columns=["h", "kind", "label", "x"])
@@ -304,6 +305,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _scan(model: PiiModel):
+    @worker("pii")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -312,13 +314,13 @@ def _scan(model: PiiModel):
                 same = {(s, e) for s, _, e in kept}
                 more = model.accept(text, [c for c in candidates(text) if (c[0], c[2]) not in same])
                 n = [sum(k == j for _, k, _ in kept) for j in range(4)]
-                out.append((doc, *n, hashlib.sha256(written(kept).encode()).hexdigest(), written(kept + more), len(more)))
+                out.append((doc, *n, hashlib.sha256(written(kept).encode()).hexdigest(), written(kept + more), len(more), len(kept) + len(more)))
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=_COLUMNS).astype({"doc_id": "Int64"}), schema=_SCHEMA, preserve_index=False)
 
     return run
 
 
-_COLUMNS = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_more"]
+_COLUMNS = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_more", "n_found"]
 _SCHEMA = pa.schema([(c, pa.string() if c in ("base_sha256", "spans") else pa.int64()) for c in _COLUMNS])
 
 
@@ -326,14 +328,14 @@ def find_pii(docs: DataFrame, model: PiiModel | None = None, id_col: str = "doc_
     """Spans of personal data in whole texts (code points, end exclusive).
 
     Returns one row per input row: doc_id, n_email, n_ip, n_card, n_phone,
-    base_sha256, spans, n_more.  Null and empty texts have no spans; repeated rows get
+    base_sha256, spans, n_more (spans beyond the base), n_found (all spans).  Null and empty texts have no spans; repeated rows get
     equal results; a null id is carried along; an empty table gives no rows.  With
     ``model`` None one is fitted on a bounded sample of ``docs``.  Columns besides
     the two named are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     model = model or fit(base)
-    return base.mapInArrow(_scan(model), ", ".join(f"{c} {'string' if c in ('base_sha256', 'spans') else 'long'}" for c in _COLUMNS))
+    return base.transform(in_arrow, _scan(model), ", ".join(f"{c} {'string' if c in ('base_sha256', 'spans') else 'long'}" for c in _COLUMNS))
 
 
 def redact(text: str, spans: str, mask: str = "[{}]") -> str:

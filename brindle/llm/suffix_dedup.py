@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shards, stage, worker
+from .common import in_arrow, shards, stage, worker
 from .near_dedup import _mix, _power_tables
 
 
@@ -487,13 +487,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 256, gram:
             continue
     else:
         raise RuntimeError("every hash of contents collided")
-    return base.join(runs, "key", "left").select("doc_id", "text", "runs").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, kept binary")
+    return base.join(runs, "key", "left").select("doc_id", "text", "runs").transform(in_arrow, _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, kept binary")
 
 
 def _runs(base: DataFrame, length: int, passage: int, gram: int, chunk_bytes: int, salt: int, hash_bits: int) -> DataFrame:
     """(key, runs) of texts with something to remove or shared; raises CollisionError."""
     short, reach = min(length, passage), max(length, passage)
-    segments = base.select("key", "text").mapInArrow(_segments(short, reach, gram, salt, hash_bits), "key binary, at long, windows long, stop long, anchor long, content long, folds boolean")
+    segments = base.select("key", "text").transform(in_arrow, _segments(short, reach, gram, salt, hash_bits), "key binary, at long, windows long, stop long, anchor long, content long, folds boolean")
     segments = stage(segments, "suffix-segments")
     contents = segments.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("stop") - F.col("at")).alias("size"), F.max("folds").alias("folds"))
     anchors = contents.groupBy("anchor").agg(F.sum("n").alias("n"), F.max("folds").alias("folds"), F.sum("size").alias("bytes"))
@@ -502,7 +502,7 @@ def _runs(base: DataFrame, length: int, passage: int, gram: int, chunk_bytes: in
     met = stage(met, "suffix-met")
     per_text = met.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("at", "windows", "stop", "anchor", "content")).alias("segments"))
     cut = base.join(per_text.hint("merge"), F.col("key") == F.col("k")).select(F.xxhash64("key").alias("doc"), "text", "segments")
-    parts = cut.mapInArrow(_cut_out(), "anchor long, content long, windows long, doc long, bytes binary")
+    parts = cut.transform(in_arrow, _cut_out(), "anchor long, content long, windows long, doc long, bytes binary")
     found = stage(_shard_search(parts, hard, length, passage, chunk_bytes), "suffix-found")
     if not found.where("removed is null").isEmpty():
         raise CollisionError
@@ -529,4 +529,4 @@ def _shard_search(parts: DataFrame, hard: DataFrame, length: int, passage: int,
     placed = placed.withColumn("chunk", F.pmod(F.col("content"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     pairs = placed.select("anchor", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "chunk", "content", "windows", "doc", "bytes")
     dealt = pairs.repartition(shards(spark), "anchor", "left", "right").sortWithinPartitions("anchor", "left", "right", "content")
-    return dealt.mapInArrow(_search(length, passage, chunk_bytes), "anchor long, content long, removed array<long>, shared array<long>")
+    return dealt.transform(in_arrow, _search(length, passage, chunk_bytes), "anchor long, content long, removed array<long>, shared array<long>")

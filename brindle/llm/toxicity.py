@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_bucket, worker
+from .common import ascii_bucket, in_arrow, worker
 from .trees import BoostedTrees, platt, sigmoid
 
 _WORD = re.compile(r"\w+")
@@ -245,11 +245,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, lexicon:
     if len(sizes) < 2:
         return model
     (n0, w0), (n1, w1) = sizes[0], sizes[1]
-    stems = train.where(half).mapInArrow(_stem_counts, "stem string, d1 long, d0 long, t1 long, t0 long").groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("d1", "d0", "t1", "t0")])
+    stems = train.where(half).transform(in_arrow, _stem_counts, "stem string, d1 long, d0 long, t1 long, t0 long").groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("d1", "d0", "t1", "t0")])
     # Long-winded stems are cut on the executors; what comes here is bounded.
     picked = stems.where((F.col("d1") >= 3) & (F.col("d1") * n0 >= 2 * F.col("d0") * n1)).orderBy(F.desc(F.col("d1") / n1 - F.col("d0") / n0), "stem").limit(20 * lexicon).toPandas()
     model.terms = _pick_terms(picked, n1, n0, w1 / 6, w0 / 6, lexicon)
-    rows = train.mapInArrow(_hit_rows(model.terms), "doc_id long, toxic int, words long, flat array<int>").withColumn("half", half).orderBy("doc_id").toPandas()
+    rows = train.transform(in_arrow, _hit_rows(model.terms), "doc_id long, toxic int, words long, flat array<int>").withColumn("half", half).orderBy("doc_id").toPandas()
     found = [[(int(f[i]), int(f[i + 1]), bool(f[i + 2])) for i in range(0, len(f), 3)] for f in rows["flat"]]
     y, own = rows["toxic"].to_numpy(), rows["half"].to_numpy(bool)
     df = (Counter(), Counter())
@@ -313,4 +313,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Toxi
     if model is None:
         model = fit(base.where(~held_out()), labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic")).where(~held_out()))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a lexicon of bounded size
-    return base.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(_score(sent), _OUT)
+    return base.select("doc_id", "text", held_out().alias("held_out")).transform(in_arrow, _score(sent), _OUT)
