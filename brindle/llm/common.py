@@ -76,7 +76,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a scratch table and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
