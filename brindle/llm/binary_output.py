@@ -103,7 +103,7 @@ class Block:
     words: np.ndarray
 
 
-def encode_block(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, table: FrequencyTable, lanes: int = 1024, every: int = 128, nulls: np.ndarray | None = None, before: int = 0) -> bytes:
+def encode_block(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, table: FrequencyTable, lanes: int = 4096, every: int = 64, nulls: np.ndarray | None = None, before: int = 0) -> bytes:
     n = len(ids)
     lanes = max(1, min(lanes, n // 64))
     steps = -(-n // lanes)
@@ -112,11 +112,12 @@ def encode_block(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, tabl
     grid = grid.reshape(steps, lanes)
     x = np.full(lanes, _LOW, np.uint64)
     shift, low32 = np.uint64(63 - SCALE), np.uint64(0xFFFFFFFF)
+    freq, start = table.freq[grid], table.start[grid]
     emitted: list[np.ndarray] = []
     marks: list[tuple[int, np.ndarray]] = []  # words emitted so far from the end, states
     written = 0
     for i in range(steps - 1, -1, -1):
-        f, c = table.freq[grid[i]], table.start[grid[i]]
+        f, c = freq[i], start[i]
         full = x >= (f << shift)
         if full.any():
             emitted.append((x[full] & low32).astype("<u4"))

@@ -25,12 +25,12 @@ _STAGED = "part int, seq long, doc_id long, before long, n_tokens long, ids bina
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, is_boundary boolean, ids binary"
 
 
-def tokenized(path: str, mode: str, end_id: int | None = END_ID):
+def tokenized(path: str, mode: str, generation: int = 300_000, end_id: int | None = END_ID):
     """mapInArrow body: (doc_id, text) to ids, with running totals inside the partition."""
 
     @worker("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, mode)
+        enc = encoder(path, mode, generation)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         for whole in batches:
@@ -86,16 +86,17 @@ def _cut(window: int, width: int, bases):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", mode: str = "drop", window: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", mode: str = "drop", window: int = 4096, generation: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents in sequences of ``window`` tokens, the last one shorter.
 
     Returns one row per piece: doc_id, start (ids of the document before it), length,
     ids_crc32, doc_tokens, sequence_id, offset, is_boundary (the document spans
-    sequences) and ids (little-endian unsigned 32-bit).  A null or empty text is one
+    sequences) and ids (little-endian unsigned 32-bit).  ``generation`` bounds what a
+    worker remembers of pieces (see ``tokens.encoder``).  A null or empty text is one
     end id.  Rows with equal or null doc_id are packed one by one like any other.  An
     empty table gives no pieces; columns besides the two named are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    staged = stage(base.transform(in_arrow, tokenized(tokenizer, mode), _STAGED), "pack-ids")
+    staged = stage(base.transform(in_arrow, tokenized(tokenizer, mode, generation), _STAGED), "pack-ids")
     bases = docs.sparkSession.sparkContext.broadcast(part_offsets(staged))
-    return staged.transform(in_arrow, _cut(window, encoder(tokenizer, mode).width, bases), _PIECES)
+    return staged.transform(in_arrow, _cut(window, encoder(tokenizer, mode, generation).width, bases), _PIECES)

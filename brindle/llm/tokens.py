@@ -51,7 +51,7 @@ def tokenizer_path(name_or_path: str) -> str:
 class PieceEncoder:
     """Ids of whole texts as little-endian bytes; ``width`` bytes an id (2 if the vocabulary allows)."""
 
-    def __init__(self, path: str, mode: str, generation: int = 150_000):
+    def __init__(self, path: str, mode: str, generation: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -66,8 +66,7 @@ class PieceEncoder:
         self.id_bytes = [i.to_bytes(self.width, "little") for i in range(self.vocabulary)]
         self.mode, self.generation = mode, generation
         self.plain = self._letter_table()
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.pieces = _Pieces(self._make)
 
     def _letter_table(self) -> dict[int, str] | None:
         """What normalizer and pre-tokenizer make of each plain letter; None if the model needs more than that."""
@@ -92,54 +91,23 @@ class PieceEncoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of pieces that the young generation lacks."""
-        young, old = self.young, self.old
+    def _make(self, p: str) -> bytes | None:
+        """Ids of a piece that the tables lack; None if they depend on what stands beside it."""
         spaced = self.mode == "space"
-        plain = _PLAIN[self.mode].match
-        fresh, made, words = set(), [], []
-
-        def new(p: str) -> None:
-            if self.plain and plain(p):
-                words.append(p)
-                young[p] = None  # until it is made below
-            else:
-                fresh.add(p)
-
-        for p in pieces:
-            known = old.get(p, 0)
-            if known != 0:
-                young[p] = known
-            elif self.plain and plain(p):
-                words.append(p)
-            elif not p or p == "\n" or spaced and _EDGE.search(p[1:] if p[0] in "\n\x00" else p):
-                young[p] = None
-            elif m := _MARKED.match(p):
-                line, word, marks = (m[4], m[5], "") if m[4] else (m[1], m[2], m[3])
-                parts = [x for x in (line and "\x00\n", "\x00" + word if line and spaced else word, marks and "\x00" + marks if spaced else marks) if x]
-                made.append((p, parts))
-                for x in parts:
-                    if x not in young and x not in pieces:
-                        known = old.get(x)
-                        if known is None:
-                            new(x)
-                        else:
-                            young[x] = known
-            else:
-                fresh.add(p)
-        if words:
-            lead = " " if spaced else ""
-            model, ids, table = self.tok.model.tokenize, self.id_bytes, self.plain
-            for p in words:
-                found = model((p[1:] if p[0] == "\x00" else lead + p).translate(table))
-                young[p] = ids[found[0].id] if len(found) == 1 else b"".join([ids[t.id] for t in found])
-        fresh = list(fresh)
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            texts = [p if p[0] == "\n" else p[1:] if p[0] == "\x00" else " " + p for p in part] if spaced else part
-            young.update(zip(part, self._raw(texts), strict=True))
-        for p, parts in made:
-            young[p] = b"".join([young[x] for x in parts])
+        if self.plain and _PLAIN[self.mode].match(p):
+            word = p[1:] if p[0] == "\x00" else " " + p if spaced else p
+            found = self.tok.model.tokenize(word.translate(self.plain))
+            return self.id_bytes[found[0].id] if len(found) == 1 else b"".join([self.id_bytes[t.id] for t in found])
+        if p == "\x00\n":  # cut off before a word
+            return self._raw(["\n"])[0]
+        if not p or p == "\n" or spaced and _EDGE.search(p[1:] if p[0] in "\n\x00" else p):
+            return None
+        if m := _MARKED.match(p):
+            line, word, marks = (m[4], m[5], "") if m[4] else (m[1], m[2], m[3])
+            parts = [line and "\x00\n", "\x00" + word if line and spaced else word, marks and "\x00" + marks if spaced else marks]
+            return b"".join([self.pieces[x] for x in parts if x])
+        text = (p if p[0] == "\n" else p[1:] if p[0] == "\x00" else " " + p) if spaced else p
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _cut(self, text: str) -> list[str]:
         if self.special and self.special.search(text):
@@ -159,36 +127,49 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One byte string of ids per text, without an end id."""
-        cut = [self._cut(t) for t in texts]
-        for pieces in cut:
-            missing = set(pieces).difference(self.young)
-            if missing:
-                self._learn(missing)
-                if len(self.young) > 2 * self.generation:
-                    self.old, self.young = self.young, {}
-                    self._learn(set(pieces))
-            # A text is joined at once, since a later one may start a new generation.
-            pieces[:] = [self._join(pieces)]
-        out = [p[0] for p in cut]
+        out: list[bytes | None] = []
+        find = self.pieces.__getitem__
+        for t in texts:
+            pieces = self._cut(t)
+            try:
+                out.append(b"".join(map(find, pieces)))
+            except TypeError:  # a piece that depends on what stands beside it
+                out.append(None)
+            if len(self.pieces) > 2 * self.generation:
+                self.pieces.age()
         whole = [i for i, p in enumerate(out) if p is None]
         if whole:
             for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
                 out[i] = ids
         return out
 
-    def _join(self, pieces: list[str]) -> bytes | None:
-        if self.mode == "space" and pieces == ["\x00"]:
-            return b""
-        try:
-            return b"".join(map(self.young.__getitem__, pieces))
-        except TypeError:  # a piece that depends on what stands beside it
-            return None
+
+class _Pieces(dict):
+    """From pieces to their ids, made when first asked for; what an age did not ask for is forgotten with the next one."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str) -> bytes | None:
+        known = self.old.get(piece, 0)
+        if known == 0:
+            known = self.make(piece)
+        self[piece] = known
+        return known
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, mode: str) -> PieceEncoder:
-    """The worker process's encoder: what one task has learned serves the next."""
-    return PieceEncoder(path, mode)
+def encoder(path: str, mode: str, generation: int = 300_000) -> PieceEncoder:
+    """The worker process's encoder: what one task has learned serves the next.
+
+    Its tables hold four times ``generation`` pieces at most, of about 250 bytes each.
+    """
+    return PieceEncoder(path, mode, generation)
 
 
 KEPT["tokens"] = encoder.cache_clear

@@ -54,7 +54,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 4096 tokens; every row is packed, without an id or text as well."""
-    return pack(docs)
+    return pack(docs, generation=150_000)  # other stages share the executors' memory
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("leaks", leaks), ("packing", packing)]
