@@ -192,31 +192,41 @@ def decode_range(block: Block, table: FrequencyTable, start: int, stop: int) ->
     return decode_stretches(block, table, first, last)[start - first * span : min(stop, block.tokens) - first * span]
 
 
-def _tokenized(path: str, mode: str):
+#: A row that holds a task's counts of ids, in place of a document's ids.
+_COUNTS = -1
+_COUNT = np.dtype([("symbol", "<u4"), ("n", "<u8")])
+
+
+def _tokenized(path: str, mode: str, generation: int):
+    """Ids of each text; a task's last row counts them, so that they are not read once more for that."""
+
     @worker("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, mode)
+        enc = encoder(path, mode, generation)
         end = np.array([END_ID], enc.dtype).tobytes()
+        counts = np.zeros(enc.vocabulary, np.int64)
+        names = ["doc_id", "n_tokens", "ids"]
         for whole in batches:
             for b in _slices(whole):
                 ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
                 n = np.fromiter((len(x) // enc.width for x in ids), np.int64, len(ids))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                counts += np.bincount(np.frombuffer(b"".join(ids), enc.dtype), minlength=enc.vocabulary)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], names)
+        some = np.flatnonzero(counts)
+        if len(some):
+            packed = np.empty(len(some), _COUNT)
+            packed["symbol"], packed["n"] = some, counts[some]
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([_COUNTS], pa.int64()), pa.array([packed.tobytes()], pa.binary())], names)
 
     return run
 
 
-def _histogram(width: int, vocabulary: int):
-    @worker("tokens")
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(vocabulary, np.int64)
-        for b in batches:
-            for part in _slices(b):
-                counts += np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), f"<u{width}"), minlength=vocabulary)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["symbol", "n"])
-
-    return run
+@worker("tokens")
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for raw in b.column("ids").to_pylist():
+            packed = np.frombuffer(raw, _COUNT)
+            yield pa.RecordBatch.from_arrays([pa.array(packed["symbol"].astype(np.int64)), pa.array(packed["n"].astype(np.int64))], ["symbol", "n"])
 
 
 def _encode(width: int, table: FrequencyTable, block_tokens: int):
@@ -268,22 +278,23 @@ def _decode(sent):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str = "byte_bpe_50k.json", mode: str = "space", block_tokens: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str = "byte_bpe_50k.json", mode: str = "space", block_tokens: int = 1 << 19, generation: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Tokenize whole texts, count ids, and write rANS blocks in ascending doc_id order; returns their folder.
 
     Without ``path`` a folder of the shared scratch space is made.  Texts are tokenized
     where they lie, and only ids are sorted.  A null text counts as empty, so a document
     has its end id at least.  Rows with a null id come first; rows with equal ids stand in
-    the order of a hash of their token ids.  An empty table makes files without documents.
+    the order of a hash of their token ids.  ``generation`` bounds what a worker remembers
+    of pieces (see ``tokens.encoder``).  An empty table makes files without documents.
     Extra columns are not read.
     """
     spark = docs.sparkSession
     path = (path or f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}").rstrip("/")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    staged = stage(base.transform(in_arrow, _tokenized(tokenizer, mode), "doc_id long, n_tokens long, ids binary"), "token-ids")
-    enc = encoder(tokenizer, mode)
+    staged = stage(base.transform(in_arrow, _tokenized(tokenizer, mode, generation), "doc_id long, n_tokens long, ids binary"), "token-ids")
+    enc = encoder(tokenizer, mode, generation)
     counts = np.zeros(enc.vocabulary, np.int64)
-    for r in staged.select("ids").transform(in_arrow, _histogram(enc.width, enc.vocabulary), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+    for r in staged.where(F.col("n_tokens") == _COUNTS).select("ids").transform(in_arrow, _unpacked, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         counts[r["symbol"]] = r["n"]  # a row for each id of the vocabulary at most
     table = FrequencyTable(counts)
     some = np.flatnonzero(table.freq)
@@ -291,7 +302,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str =
     spark.createDataFrame(rows, "symbol long, freq long, vocabulary long").coalesce(1).write.parquet(f"{path}/table")
     # The hash lets a range boundary fall between rows of one id.
     order = ["doc_id", F.xxhash64("ids")]
-    ordered = staged.repartitionByRange(shards(spark), *order).sortWithinPartitions(*order, "ids")
+    ordered = staged.where(F.col("n_tokens") != _COUNTS).repartitionByRange(shards(spark), *order).sortWithinPartitions(*order, "ids")
     ordered.transform(in_arrow, _encode(enc.width, table, block_tokens), "part int, n_tokens long, block binary").write.parquet(f"{path}/blocks")
     blocks = spark.read.schema("part int, n_tokens long").parquet(f"{path}/blocks")
     blocks.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.parquet(f"{path}/parts")
