@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,7 +43,6 @@ def worker(kind: str):
 
 def give_back() -> None:
     """Return freed memory to the system, where the C library can."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
