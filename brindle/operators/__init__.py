@@ -8,11 +8,16 @@ from .relational import (
     grouping_sets,
     hash_join,
     intersect_rows,
+    mark_join,
     project,
+    range_join,
     running_sum,
+    sample_rows,
+    single_join,
+    small,
     top_k,
     union_rows,
     window,
 )
 
-__all__ = ["aggregate", "cross_product", "except_rows", "filter_rows", "grouping_sets", "hash_join", "intersect_rows", "project", "running_sum", "top_k", "union_rows", "window"]
+__all__ = ["aggregate", "cross_product", "except_rows", "filter_rows", "grouping_sets", "hash_join", "intersect_rows", "mark_join", "project", "range_join", "running_sum", "sample_rows", "single_join", "small", "top_k", "union_rows", "window"]

@@ -81,6 +81,28 @@ class ColumnCache:
             self._drop(next(iter(self.entries)))
         return (table, names) in self.entries
 
+    def hold(self, table: Any, frame: DataFrame, size: int) -> bool:
+        """Keep a whole table as it stands in plans, so that any query on it reads the copy; False if it is too large."""
+        if size > self.budget * CACHE_SHARE:
+            return False
+        names = tuple(sorted(frame.columns))
+        self.invalidate(table)
+        self.entries[table, names] = Entry(names, frame.persist(self.level), -1, size)
+        while self.size > self.budget:
+            self._drop(next(iter(self.entries)))
+        return (table, names) in self.entries
+
+    def touch(self, table: Any) -> bool:
+        """Count a read of a whole table that is held."""
+        for key, entry in self.entries.items():
+            if key[0] == table and entry.rows < 0:
+                entry.hits += 1
+                self.hits += 1
+                self.entries.move_to_end(key)
+                return True
+        self.misses += 1
+        return False
+
     def serve(self, table: Any, frame: Callable[[], DataFrame], columns: Iterable[str], populate: bool = True) -> DataFrame:
         """Columns from the cache, or from ``frame()``, which then fills the cache if ``populate``."""
         columns = list(columns)

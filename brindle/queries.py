@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as fn
-from .operators import aggregate, cross_product, except_rows, filter_rows, grouping_sets, hash_join, intersect_rows, project, running_sum, top_k, union_rows, window
+from .operators import aggregate, cross_product, except_rows, filter_rows, grouping_sets, hash_join, intersect_rows, mark_join, project, range_join, running_sum, sample_rows, single_join, top_k, union_rows, window
 from .sources import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -428,8 +428,8 @@ def join_theta(spark, d):
 @query("SELECT event_id, n FROM (SELECT e.event_id, count(*) AS n FROM events e JOIN events f ON e.user_id = f.user_id AND f.ts BETWEEN e.ts - INTERVAL 1 HOUR AND e.ts GROUP BY e.event_id) q")
 def join_range(spark, d):
     e = scan(spark, d, "events", "event_id", "user_id", "ts")
-    near = (c("e.user_id") == c("f.user_id")) & c("f.ts").between(c("e.ts") - F.expr("INTERVAL 1 HOUR"), c("e.ts"))
-    return aggregate(hash_join(e.alias("e"), e.alias("f"), near), ["e.event_id"], n=rows())
+    before = project(e, f_user="user_id", f_ts="ts")
+    return aggregate(range_join(e, before, [("user_id", "f_user")], "ts", "f_ts", 3600), ["event_id"], n=rows())
 
 
 @query("SELECT e.event_id, f.event_id AS prior FROM events e ASOF JOIN (SELECT * FROM events WHERE event_type = (SELECT min(event_type) FROM events)) f ON e.user_id = f.user_id AND e.event_id > f.event_id")
@@ -444,8 +444,11 @@ def join_asof(spark, d):
 
 @query("SELECT min(x) AS mn, max(x) AS mx, count(*) AS n FROM (SELECT round(sin(s_acctbal) + cos(p_retailprice), 9) AS x FROM supplier, part) q")
 def cross_math(spark, d):
-    x = cross_product(scan(spark, d, "part", "p_retailprice"), scan(spark, d, "supplier", "s_acctbal"))
-    return aggregate(project(x, x=F.round(fn.sin("s_acctbal") + fn.cos("p_retailprice"), 9)), mn=F.min("x"), mx=F.max("x"), n=rows())
+    # Functions of one side are computed below the product; rounding keeps order, so extremes are rounded alone.
+    a = project(scan(spark, d, "supplier", "s_acctbal"), a=fn.sin("s_acctbal"))
+    b = project(scan(spark, d, "part", "p_retailprice"), b=fn.cos("p_retailprice"))
+    x = project(cross_product(b, a), x=c("a") + c("b"))
+    return aggregate(x, mn=F.round(F.min("x"), 9), mx=F.round(F.max("x"), 9), n=rows())
 
 
 @query("SELECT n_name, r_name, n_nationkey + r_regionkey AS k FROM nation, region")
@@ -455,7 +458,7 @@ def cross_project(spark, d):
 
 @query("SELECT s_nationkey, count(*) AS n, max(n_nationkey) AS hi FROM supplier, nation GROUP BY s_nationkey")
 def cross_agg(spark, d):
-    return aggregate(cross_product(scan(spark, d, "supplier"), F.broadcast(scan(spark, d, "nation"))), ["s_nationkey"], n=rows(), hi=F.max("n_nationkey"))
+    return aggregate(cross_product(scan(spark, d, "supplier"), scan(spark, d, "nation")), ["s_nationkey"], n=rows(), hi=F.max("n_nationkey"))
 
 
 @query("SELECT count(*) AS n, min(a.n_nationkey * b.n_nationkey) AS mn, max(a.n_nationkey * b.n_nationkey) AS mx FROM nation a, nation b")
@@ -634,3 +637,113 @@ def local_supplier_volume(spark, d):
 @query("SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) PIVOT (count(*) FOR l_linestatus IN ('O', 'F') GROUP BY l_returnflag)")
 def pivot(spark, d):
     return scan(spark, d, "lineitem", "l_returnflag", "l_linestatus").groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).count().fillna(0)
+
+
+# Null-aware and single-row joins, sampling, nested values, other aggregates
+
+
+_RATES = "(SELECT CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey END AS k FROM supplier WHERE s_acctbal > {least}) q"
+
+
+def _suppliers(spark, d, least):
+    s = filter_rows(scan(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal"), c("s_acctbal") > least)
+    return project(s, k=F.when(c("s_suppkey") % 7 != 0, c("s_nationkey")))
+
+
+@query(f"SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT k FROM {_RATES.format(least=0)} WHERE k IS NOT NULL AND k < 9)")
+def not_in(spark, d):
+    right = filter_rows(_suppliers(spark, d, 0), c("k").isNotNull(), c("k") < 9)
+    return filter_rows(mark_join(scan(spark, d, "customer", "c_custkey", "c_nationkey"), right, "c_nationkey", "k"), ~c("mark")).select("c_custkey")
+
+
+@query(f"SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT k FROM {_RATES.format(least=0)})")
+def not_in_with_nulls(spark, d):
+    return filter_rows(mark_join(scan(spark, d, "customer", "c_custkey", "c_nationkey"), _suppliers(spark, d, 0), "c_nationkey", "k"), ~c("mark")).select("c_custkey")
+
+
+@query(f"SELECT n_nationkey, nullif(n_nationkey, 3) IN (SELECT k FROM {_RATES.format(least=5000)}) AS mark FROM nation")
+def mark_values(spark, d):
+    n = project(scan(spark, d, "nation"), n_nationkey="n_nationkey", key=F.nullif(c("n_nationkey"), F.lit(3)))
+    return mark_join(n, _suppliers(spark, d, 5000), "key", "k").select("n_nationkey", "mark")
+
+
+@query("SELECT o_orderkey, (SELECT c_name FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0) AS name FROM orders")
+def single_value(spark, d):
+    cu = filter_rows(scan(spark, d, "customer", "c_custkey", "c_name", "c_acctbal"), c("c_acctbal") > 0)
+    return single_join(scan(spark, d, "orders", "o_orderkey", "o_custkey"), cu, "o_custkey", "c_custkey", "c_name", "name").select("o_orderkey", "name")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE md5(l_orderkey::VARCHAR) < '19999999'")
+def sample_by_hash(spark, d):
+    return sample_rows(scan(spark, d, "lineitem", "l_orderkey", "l_linenumber"), "l_orderkey", 0.1)
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_quantity, 0.9), 6) AS q90, quantile_disc(l_linenumber, 0.25) AS q25, arg_max(l_orderkey, l_orderkey * 10 + l_linenumber) AS last_order FROM lineitem GROUP BY l_returnflag")
+def quantiles(spark, d):
+    li = scan(spark, d, "lineitem", "l_returnflag", "l_quantity", "l_linenumber", "l_orderkey")
+    return aggregate(li, ["l_returnflag"], q90=F.round(F.percentile("l_quantity", 0.9), 6), q25=F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY l_linenumber)").cast("int"), last_order=F.max_by("l_orderkey", c("l_orderkey") * 10 + c("l_linenumber")))
+
+
+@query("SELECT l_returnflag, bool_and(l_tax < 0.08) AS low, bool_or(l_discount > 0.09) AS high, CAST(sum(CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END) AS BIGINT) AS taxed, round(skewness(l_quantity), 4) AS skew FROM lineitem GROUP BY l_returnflag")
+def bool_agg(spark, d):
+    li = scan(spark, d, "lineitem", "l_returnflag", "l_tax", "l_discount", "l_quantity")
+    n = F.count(F.lit(1))
+    # Fisher's skewness with the sample's correction, as SQL has it.
+    skew = F.skewness("l_quantity") * F.sqrt(n * (n - 1).cast("double")) / (n - 2)
+    return aggregate(li, ["l_returnflag"], low=F.bool_and(c("l_tax") < 0.08), high=F.bool_or(c("l_discount") > 0.09), taxed=F.sum((c("l_tax") > 0.04).cast("int")), skew=F.round(skew, 4))
+
+
+@query("SELECT n_regionkey, array_to_string(list_sort(list(DISTINCT length(n_name))), ',') AS sizes, CAST(list_sum(list(n_nationkey)) AS BIGINT) AS total FROM nation GROUP BY n_regionkey")
+def list_agg(spark, d):
+    n = scan(spark, d, "nation", "n_regionkey", "n_nationkey", "n_name")
+    total = F.aggregate(F.collect_list("n_nationkey"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return aggregate(n, ["n_regionkey"], sizes=F.concat_ws(",", F.sort_array(F.collect_set(F.length("n_name"))).cast("array<string>")), total=total)
+
+
+@query("SELECT l_orderkey, l_linenumber, list_contains([l_linenumber, 3], 3) AS has, list_max([l_linenumber, 2]) AS hi, len(list_filter([1, 2, l_linenumber], lambda x: x > 1)) AS kept, array_to_string(list_sort([l_linenumber, 2, 5]), '-') AS sorted FROM lineitem")
+def fn_arrays(spark, d):
+    n = c("l_linenumber")
+    return project(scan(spark, d, "lineitem", "l_orderkey", "l_linenumber"), l_orderkey="l_orderkey", l_linenumber="l_linenumber", has=F.array_contains(F.array(n, F.lit(3)), 3), hi=F.array_max(F.array(n, F.lit(2))),
+                   kept=F.size(F.filter(F.array(F.lit(1), F.lit(2), n), lambda x: x > 1)).cast("long"), sorted=F.concat_ws("-", F.sort_array(F.array(n, F.lit(2), F.lit(5))).cast("array<string>")))
+
+
+@query("""SELECT event_id, CAST(json_extract_string('{"a": {"b": ' || user_id || '}}', '$.a.b') AS BIGINT) AS v, json_extract_string('{"x": ["p", "q"]}', '$.x[1]') AS w FROM events""")
+def fn_json(spark, d):
+    made = F.concat(F.lit('{"a": {"b": '), c("user_id").cast("string"), F.lit("}}"))
+    return project(scan(spark, d, "events", "event_id", "user_id"), event_id="event_id", v=F.get_json_object(made, "$.a.b").cast("long"), w=F.get_json_object(F.lit('{"x": ["p", "q"]}'), "$.x[1]"))
+
+
+@query("SELECT n_nationkey, map_extract_value(MAP {'key': n_nationkey, 'region': n_regionkey}, 'region') AS r, cardinality(MAP {'a': 1, 'b': n_nationkey}) AS n FROM nation")
+def fn_maps(spark, d):
+    m = F.create_map(F.lit("key"), c("n_nationkey"), F.lit("region"), c("n_regionkey"))
+    two = F.create_map(F.lit("a"), F.lit(1), F.lit("b"), c("n_nationkey"))
+    return project(scan(spark, d, "nation"), n_nationkey="n_nationkey", r=F.element_at(m, "region"), n=F.size(two).cast("long"))
+
+
+@query("SELECT l_returnflag, isnan(max(x)) AS top_is_nan, min(x) AS lo, count(*) FILTER (WHERE isnan(x)) AS nans FROM (SELECT l_returnflag, CASE WHEN l_linenumber = 7 THEN 'NaN'::DOUBLE ELSE l_quantity::DOUBLE END AS x FROM lineitem) q GROUP BY l_returnflag")
+def nan_extremes(spark, d):
+    x = F.when(c("l_linenumber") == 7, F.lit(float("nan"))).otherwise(c("l_quantity").cast("double"))
+    q = project(scan(spark, d, "lineitem", "l_returnflag", "l_linenumber", "l_quantity"), l_returnflag="l_returnflag", x=x)
+    return aggregate(q, ["l_returnflag"], top_is_nan=F.isnan(F.max("x")), lo=F.min("x"), nans=F.count_if(F.isnan("x")))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE x = 0) AS zeros FROM (SELECT DISTINCT CASE WHEN n_nationkey = 1 THEN -0.0::DOUBLE WHEN n_nationkey = 2 THEN 0.0::DOUBLE WHEN n_nationkey < 5 THEN 'NaN'::DOUBLE ELSE 1.5 END AS x FROM nation) q")
+def float_key_extremes(spark, d):
+    k = c("n_nationkey")
+    x = F.when(k == 1, F.lit(-0.0)).when(k == 2, F.lit(0.0)).when(k < 5, F.lit(float("nan"))).otherwise(F.lit(1.5))
+    return aggregate(project(scan(spark, d, "nation", "n_nationkey"), x=x).distinct(), n=rows(), zeros=F.count_if(c("x") == 0))
+
+
+@query("SELECT n_nationkey AS k, n_name AS name FROM nation")
+def csv_rows(spark, d):
+    line = F.concat_ws(",", c("n_nationkey").cast("string"), F.concat(F.lit('"'), c("n_name"), F.lit('"')))
+    parsed = project(scan(spark, d, "nation"), r=F.from_csv(line, "k int, name string"))
+    return project(parsed, k=c("r.k"), name=c("r.name"))
+
+
+@query("SELECT l_orderkey, l_linenumber, trunc(l_extendedprice / 1000) AS thousands, round(l_linenumber * 10.0, -1)::BIGINT AS tens, least(l_tax, l_discount) AS low FROM lineitem")
+def fn_round(spark, d):
+    li = scan(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_tax", "l_discount")
+    x = c("l_extendedprice") / 1000
+    toward = F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)).cast("double")
+    return project(li, l_orderkey="l_orderkey", l_linenumber="l_linenumber", thousands=toward, tens=F.round(c("l_linenumber") * 10.0, -1).cast("long"), low=F.least("l_tax", "l_discount"))

@@ -5,27 +5,39 @@ from __future__ import annotations
 import re
 import time
 import uuid
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import statements
 from .activity import ActivityLog
+from .functions import relaxed
+from .functions.registry import FUNCTIONS, names
 from .plans import Advice, ColumnCache, advise
 from .plans.advisor import summarize
-from .sources import TableId, string_rows
+from .sources import TableId
+from .sources.sinks import limited_rows
 
 
 @dataclass
 class Settings:
-    """Options of a session.  ``fast_math`` is accepted and noted; the JVM has no such mode."""
+    """Options of a session.
+
+    ``min_rows`` is the advice's least size of a plan; ``stream_pipeline`` fetches results a
+    partition at a time; ``cache_tables`` keeps tables that are queried again; with
+    ``relaxed_precision`` the functions of ``Session.function`` take single precision, with
+    ``strict_fp`` it refuses those that are not exact.  ``fast_math`` is accepted and
+    noted; the JVM has no such mode.
+    """
 
     min_rows: int = 100_000
     memory_fraction: float = 0.85
     stream_pipeline: bool = True
+    cache_tables: bool = True
     fast_math: bool = False
     relaxed_precision: bool = False
     strict_fp: bool = False
@@ -84,6 +96,23 @@ def spark_session(app: str = "brindle", **conf: Any) -> SparkSession:
     return builder.getOrCreate()
 
 
+def scan_micros(df: DataFrame) -> int:
+    """Time that the tasks of ``df``'s last run spent in reading files, by Spark's own metric."""
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        metric = plan.metrics().get("scanTime")
+        if metric.isDefined():
+            total += int(metric.get().value()) * 1000
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
 class Session:
     """An isolated database on a shared Spark application.
 
@@ -101,6 +130,7 @@ class Session:
         self.spark.catalog.setCurrentDatabase(self.schema)
         self.cache = ColumnCache(self.settings.cache_bytes)
         self.notes: list[str] = []
+        self._reads: Counter[TableId] = Counter()
 
     def __enter__(self) -> Session:
         return self
@@ -143,6 +173,7 @@ class Session:
     def _forget(self, write: statements.Write) -> None:
         table = TableId.parse(write.table, self.spark) if write.table else None
         dropped = self.cache.invalidate(table)
+        self._reads.clear() if table is None else self._reads.pop(table, None)
         if write.table:
             self.spark.sql(f"REFRESH TABLE {write.table}")
         self.log.write("debug", "invalidate", verb=write.verb, table=str(table or "*"), dropped=dropped)
@@ -161,12 +192,55 @@ class Session:
             new = old.select(*[F.when(hit, F.expr(values[c.lower()]).cast(old.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c.lower() in values else F.col(c) for c in old.columns])
         count = old.where(hit).count()
         name = TableId.parse(change.table, self.spark)
-        fresh = f"{name.schema}.{name.table}__{uuid.uuid4().hex[:8]}"
+        mark = uuid.uuid4().hex[:8]
+        at, fresh, former = f"{name.schema}.{name.table}", f"{name.schema}.{name.table}__new_{mark}", f"{name.schema}.{name.table}__old_{mark}"
         new.write.saveAsTable(fresh)
-        self.spark.sql(f"DROP TABLE {name.schema}.{name.table}")
-        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {name.schema}.{name.table}")
+        # The old rows keep a name until the new ones have theirs; `recover` puts back what a crash left between.
+        self.spark.sql(f"ALTER TABLE {at} RENAME TO {former}")
+        try:
+            self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {at}")
+        except Exception:
+            self.spark.sql(f"ALTER TABLE {former} RENAME TO {at}")
+            raise
+        self.spark.sql(f"DROP TABLE {former}")
         return self.spark.createDataFrame([(count,)], "count long")
 
+    def recover(self) -> None:
+        """End or undo changes that a crash cut short: a table without its name gets its old rows back.
+
+        To be called while no other session changes tables of the schema.
+        """
+        there = {t.name for t in self.spark.catalog.listTables(self.schema) if not t.isTemporary}
+        for left in sorted(there):
+            if m := re.fullmatch(r"(.+)__(old|new)_[0-9a-f]{8}", left):
+                if m[2] == "old" and m[1] not in there:
+                    self.spark.sql(f"ALTER TABLE {self.schema}.{left} RENAME TO {self.schema}.{m[1]}")
+                    there.add(m[1])
+                else:
+                    self.spark.sql(f"DROP TABLE {self.schema}.{left}")
+
+    def _hold_tables(self, df: DataFrame) -> None:
+        """Keep the tables that ``df`` reads, from their second query on; Catalyst then reads the kept columns in any plan."""
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        for leaf in (leaves.apply(i) for i in range(leaves.size())):
+            if leaf.getClass().getSimpleName() != "LogicalRelation" or not leaf.catalogTable().isDefined():
+                continue
+            name = TableId.parse(leaf.catalogTable().get().identifier().unquotedString(), self.spark)
+            self._reads[name] += 1
+            if not self.cache.touch(name) and self._reads[name] > 1:
+                self.cache.hold(name, self.spark.table(str(name)), int(str(leaf.stats().sizeInBytes())))
+
+    def function(self, name: str, *args: Any) -> Column:
+        """A registered scalar function under this session's settings of precision."""
+        f = FUNCTIONS[name]
+        if self.settings.strict_fp and not f.exact:
+            raise ValueError(f"strict floating point allows only {', '.join(names(exact_only=True))}")
+        return relaxed(f.build, *args) if self.settings.relaxed_precision and not f.exact else f.build(*args)
+
+    def register_function(self, name: str, body: Callable[..., Any], returns: str) -> None:
+        """A scalar function of pandas series for SQL; it gets Arrow batches, never single rows."""
+        self.spark.udf.register(name, F.pandas_udf(body, returns))
+
     def table(self, name: str, *columns: str, populate: bool = True) -> DataFrame:
         """Columns of a table through the column cache."""
         names = list(columns) or self.spark.table(name).columns
@@ -176,7 +250,7 @@ class Session:
 
     def advise(self, df: DataFrame) -> Advice:
         s = self.settings
-        out = advise(df, int(s.memory_bytes * s.memory_fraction), exact_only=s.strict_fp)
+        out = advise(df, int(s.memory_bytes * s.memory_fraction), exact_only=s.strict_fp, min_rows=s.min_rows)
         self.log.write("info", "advice", **out.as_dict())
         return out
 
@@ -185,6 +259,9 @@ class Session:
         out, began = QueryResult(), time.perf_counter()
         try:
             df = self.sql(text)
+            if self.accelerated and self.settings.cache_tables and df.columns and not statements.classify(text):
+                self._hold_tables(df)
+                df = self.spark.sql(text) if self.cache.entries else df
             start = time.perf_counter()
             df._jdf.queryExecution().executedPlan()
             out.stats.optimize_us = int((time.perf_counter() - start) * 1e6)
@@ -194,8 +271,9 @@ class Session:
                 out.stats.input_rows = sum(n.rows for n in plan.walk() if n.kind == "scan")
                 out.stats.worthwhile_plans = int(self.advise(df).worthwhile)
             start = time.perf_counter()
-            out.rows, out.truncated = string_rows(df, max_rows)
+            limited, out.rows, out.truncated = limited_rows(df, max_rows, self.settings.stream_pipeline)
             out.stats.execute_us = int((time.perf_counter() - start) * 1e6)
+            out.stats.scan_us = scan_micros(limited)
         except Exception as e:
             out.error = str(e).split("\n\nJVM stacktrace")[0].strip()
             self.log.write("error", "query", sql=text, error=out.error)

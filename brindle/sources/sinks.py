@@ -51,10 +51,16 @@ def json_rows(rows: list[Row], columns: list[str]) -> str:
 
 def string_rows(df: DataFrame, max_rows: int = 10_000) -> tuple[list[list[str]], bool]:
     """(rows as strings, truncated).  One row more than asked for is fetched, to know."""
+    return limited_rows(df, max_rows)[1:]
+
+
+def limited_rows(df: DataFrame, max_rows: int, streamed: bool = False) -> tuple[DataFrame, list[list[str]], bool]:
+    """The frame that was run, its rows as strings, and whether there are more; ``streamed`` fetches a partition at a time."""
     if max_rows < 0:
         raise ValueError("max_rows is negative")
-    rows = df.limit(max_rows + 1).collect()
-    return [[_text(v) for v in r] for r in rows[:max_rows]], len(rows) > max_rows
+    few = df.limit(max_rows + 1)
+    rows = [[_text(v) for v in r] for r in (few.toLocalIterator() if streamed else few.collect())]
+    return few, rows[:max_rows], len(rows) > max_rows
 
 
 def text_table(rows: list[list[str]], columns: list[str]) -> str:

@@ -35,6 +35,27 @@ def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     )
 
 
+def sliding_counts(events: DataFrame, width: str = "1 hour", slide: str = "15 minutes", late: str = "10 minutes", time: str = "ts", key: str = "event_type") -> DataFrame:
+    """Count by key in windows of ``width`` that begin every ``slide``."""
+    return (
+        _timed(events, time, late)
+        .groupBy(F.window(time, width, slide), key)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("window.start").alias("start"), key, "n")
+    )
+
+
+def interval_join(left: DataFrame, right: DataFrame, key: str, within: str = "10 minutes", late: str = "10 minutes", time: str = "ts") -> DataFrame:
+    """Pairs of two streams with one key whose right time lies at most ``within`` after the left one.
+
+    Both watermarks and the interval bound the state: a row is dropped once no partner can come.
+    """
+    a = _timed(left, time, late).select([F.col(c).alias(f"left_{c}") for c in left.columns])
+    b = _timed(right, time, late).select([F.col(c).alias(f"right_{c}") for c in right.columns])
+    after = F.expr(f"right_{time} >= left_{time} AND right_{time} <= left_{time} + INTERVAL {within}")
+    return a.join(b, (F.col(f"left_{key}") == F.col(f"right_{key}")) & after)
+
+
 def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", time: str = "ts", key: str = "user_id") -> DataFrame:
     """Events of each session: a session ends after ``gap`` without one."""
     return (

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import aggregate, cross_product, filter_rows, grouping_sets, hash_join, project, running_sum, top_k
+from brindle.operators import aggregate, cross_product, filter_rows, grouping_sets, hash_join, project, relational, running_sum, top_k
 
 
 def test_null_predicate_drops_row(spark):
@@ -72,3 +72,34 @@ def test_grouping_sets_counts(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a")], "k int, s string")
     out = grouping_sets(df, [["k"], []], ["k", "s"], n=F.count(F.lit(1)))
     assert sorted(r.n for r in out.collect()) == [1, 2, 3]
+
+
+def test_ranges_are_found_in_two_steps(spark):
+    import bisect
+
+    for n in (0, 1, 2, 3, 10, 50):
+        bounds = [float(3 * k) for k in range(n)]
+        got = spark.range(160).select(relational._range_of((F.col("id") - 3).cast("double"), bounds).alias("r")).collect()
+        assert [r.r for r in got] == [bisect.bisect_right(bounds, i - 3.0) for i in range(160)]
+
+
+def test_single_join_refuses_two_rows(spark):
+    left, right = spark.range(3).toDF("a"), spark.createDataFrame([(1, "x"), (1, "y")], "b long, v string")
+    with pytest.raises(Exception, match="more than one row"):
+        relational.single_join(left, right, "a", "b", "v", "v").collect()
+
+
+def test_mark_join_knows_nulls(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "a int")
+    for rows, want in (([], [False, False, False]), ([(1,)], [True, False, None]), ([(1,), (None,)], [True, None, None])):
+        right = spark.createDataFrame(rows, "b int")
+        assert sorted([r.mark for r in relational.mark_join(left, right, "a", "b").collect()], key=str) == sorted(want, key=str)
+
+
+def test_range_join_equals_all_pairs(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id < 30").select("event_id", "user_id", "ts")
+    before = e.select(F.col("event_id").alias("f"), F.col("user_id").alias("u"), F.col("ts").alias("t"))
+    for seconds in (1, 3600, 100_000):
+        got = relational.range_join(e, before, [("user_id", "u")], "ts", "t", seconds)
+        want = e.join(before, (F.col("user_id") == F.col("u")) & F.col("t").between(F.col("ts") - F.expr(f"INTERVAL {seconds} SECONDS"), F.col("ts")))
+        assert got.columns == want.columns and sorted((r.event_id, r.f) for r in got.collect()) == sorted((r.event_id, r.f) for r in want.collect())

@@ -3,6 +3,7 @@ from __future__ import annotations
 import io
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,61 @@ def test_settings(session):
         Settings().set("nope", 1)
 
 
+def test_queries_read_kept_tables_until_they_change(session):
+    session.sql("CREATE TABLE kept USING parquet AS SELECT id, id % 5 AS k FROM range(1000)")
+    ask = lambda: session.query("SELECT k, sum(id) AS s FROM kept WHERE id > 10 GROUP BY k ORDER BY k")
+    first = ask()
+    assert first.ok and first.stats.scan_us >= 0 and not session.cache.entries
+    again = ask()
+    assert len(session.cache.entries) == 1 and again.rows == first.rows
+    hits = session.cache.hits
+    plan = session.sql("SELECT max(id) FROM kept")._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan and ask().rows == first.rows and session.cache.hits == hits + 1
+    session.sql("INSERT INTO kept VALUES (2000, 0)")
+    assert not session.cache.entries and int(ask().rows[0][1]) == int(first.rows[0][1]) + 2000
+    session.sql("SET engine.cache_tables = false")
+    ask()
+    assert not session.cache.entries
+    session.sql("SET engine.cache_tables = true")
+    session.sql("DROP TABLE kept")
+
+
+def test_precision_settings_act(session):
+    x = session.spark.sql("SELECT 0.1D AS x")
+    exact, narrow = x.select(session.function("sin", "x")).first()[0], None
+    session.sql("SET engine.relaxed_precision = true")
+    narrow = x.select(session.function("sin", "x"), session.function("sqrt", "x")).first()
+    assert narrow[0] != exact and abs(narrow[0] - exact) < 1e-7 and narrow[1] == 0.1**0.5
+    session.sql("SET engine.relaxed_precision = false")
+    session.sql("SET engine.strict_fp = true")
+    with pytest.raises(ValueError):
+        session.function("sin", "x")
+    session.sql("SET engine.strict_fp = false")
+    big = session.spark.range(200).select(F.sin("id"))
+    assert any("below 100000" in r for r in session.advise(big).reasons)
+    session.settings.min_rows = 100
+    assert not any("below" in r for r in session.advise(big).reasons)
+    session.settings.min_rows = 100_000
+
+
+def test_changes_survive_a_crash_between_renames(session):
+    session.sql("CREATE TABLE c USING parquet AS SELECT id FROM range(7)")
+    session.sql(f"ALTER TABLE {session.schema}.c RENAME TO {session.schema}.c__old_0123abcd")
+    session.sql(f"CREATE TABLE {session.schema}.c__new_0123abcd USING parquet AS SELECT id FROM range(3)")
+    session.recover()
+    assert session.spark.table("c").count() == 7
+    assert [t.name for t in session.spark.catalog.listTables(session.schema) if t.name.startswith("c")] == ["c"]
+    session.sql("DROP TABLE c")
+
+
+def test_user_functions_take_batches(session):
+    def twice(s: pd.Series) -> pd.Series:
+        return s * 2
+
+    session.register_function("twice", twice, "long")
+    assert [r.rows for r in [session.query("SELECT sum(twice(id)) AS s FROM range(10)")]] == [[["90"]]]
+
+
 def test_log_rotates_and_filters(tmp_path):
     log = ActivityLog(str(tmp_path / "a.jsonl"), "info", cap_bytes=2000)
     for i in range(100):

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.streaming import file_stream, run_available, running_sum_stream, session_counts, tumbling_counts
+from brindle.streaming import file_stream, interval_join, run_available, running_sum_stream, session_counts, sliding_counts, tumbling_counts
 
 
 def _split(spark, sf_dir, folder, parts=3):
@@ -38,3 +38,18 @@ def test_tumbling_and_session_windows_equal_batch(spark, tmp_path, sf_dir):
     query.processAllAvailable()
     query.stop()
     assert spark.table("sessions").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_sliding_windows_and_interval_join_equal_batch(spark, tmp_path, sf_dir):
+    e = _split(spark, sf_dir, str(tmp_path / "in"), parts=2)
+    stream = lambda: file_stream(spark, str(tmp_path / "in"), e.schema)
+    query = sliding_counts(stream(), late="3650 days").writeStream.format("memory").queryName("sliding").outputMode("complete").start()
+    query.processAllAvailable()
+    query.stop()
+    want = e.groupBy(F.window("ts", "1 hour", "15 minutes"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    assert spark.table("sliding").count() == want.count() and spark.table("sliding").agg(F.sum("n")).first()[0] == 4 * e.count()
+    pairs = interval_join(stream().where("user_id < 20"), stream().where("user_id < 20"), "user_id", late="3650 days")
+    run_available(pairs, str(tmp_path / "pairs"), str(tmp_path / "ck"))
+    few = e.where("user_id < 20")
+    near = F.expr("b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 10 minutes")
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == few.alias("a").join(few.alias("b"), (F.col("a.user_id") == F.col("b.user_id")) & near).count()
