@@ -58,7 +58,7 @@ def main() -> None:
         con = duckdb.connect()
         for t in TABLES:
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
-        out["duckdb"] = {name: timed(lambda name=name: con.execute(SQL[name]).fetch_arrow_table()) for name in HEADLINE}
+        out["duckdb"] = {name: timed(lambda name=name: con.execute(SQL[name]).to_arrow_table()) for name in HEADLINE}
     print(json.dumps(out))
 
 
