@@ -12,6 +12,8 @@ trees turn the weighted counts into a calibrated score.
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,8 +27,8 @@ from .common import ascii_bucket, in_arrow, worker
 from .trees import BoostedTrees, platt, sigmoid
 
 _WORD = re.compile(r"\w+")
-#: Marks of quotation on either side, and words that report speech; fixed values.
-_QUOTES = frozenset("\"'“”«»„‘’`")
+#: Stretches between a pair of quotation marks in one line, and words that report speech; fixed values.
+_QUOTED = re.compile(r""""[^"\n]*"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|‘[^’\n]*’(?!\w)|(?<!\w)'[^'\n]*'(?!\w)|`[^`\n]*`""")
 _REPORTING = frozenset("said says called quote quoted quotes word term wrote writes dit mot sagte wort dijo palabra".split())
 _STEMS = (5, 6, 7, 8)
 _SHORT = (3, 4)
@@ -143,20 +145,25 @@ class HitTable(dict):
 
 
 def hits(text: str, table: HitTable) -> tuple[list[tuple[int, int, bool]], int]:
-    """([(term, edits, quoted)], words): quoted tells mention from use by the window around the hit."""
+    """([(term, edits, quoted)], words): quoted tells mention from use.
+
+    A hit is a mention if it stands between a pair of quotation marks of its line, however
+    much else stands there, or if one of the four words before it reports speech.
+    """
     low = text.lower()
     words = _WORD.findall(low)
     found = list(map(table.__getitem__, words))
     if not any(found):
         return [], len(words)
-    spans = list(_WORD.finditer(low))
+    pairs = [m.span() for m in _QUOTED.finditer(low)]
+    opens = [s for s, _ in pairs]
     out = []
-    for i, hit in enumerate(found):
+    for i, (hit, span) in enumerate(zip(found, _WORD.finditer(low), strict=True)):
         if hit:
-            window = low[max(0, spans[i].start() - 3) : spans[i].start()], low[spans[i].end() : spans[i].end() + 3]
-            marks = any(c in _QUOTES for c in window[0]) and any(c in _QUOTES for c in window[1])
+            k = bisect_right(opens, span.start()) - 1
+            marked = k >= 0 and span.end() <= pairs[k][1]
             reported = not _REPORTING.isdisjoint(words[max(0, i - 4) : i])
-            out.append((hit[1], hit[0], marks or reported))
+            out.append((hit[1], hit[0], marked or reported))
     return out, len(words)
 
 
@@ -203,13 +210,20 @@ def _hit_rows(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = HitTable(LexiconAutomaton(terms))
         for b in batches:
-            rows = [hits(t, table) for t in b.column("text").to_pylist()]
-            flat = [[v for h in found for v in (h[0], h[1], int(h[2]))] for found, _ in rows]
+            texts = b.column("text").to_pylist()
+            rows = [hits(t, table) for t in texts]
+            flat = [[v for h, c in zip(found, _contexts(t, table) if found else (), strict=True) for v in (h[0], h[1], int(h[2]), c)] for t, (found, _) in zip(texts, rows, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([n for _, n in rows], pa.int64()), pa.array(flat, pa.list_(pa.int32()))], ["doc_id", "toxic", "words", "flat"])
 
     return run
 
 
+def _contexts(text: str, table: HitTable) -> list[int]:
+    """A number for the words on either side of each hit: copies of a passage have the same ones."""
+    words = ["", *_WORD.findall(text.lower()), ""]
+    return [zlib.crc32(f"{words[i - 1]} {words[i + 1]}".encode("utf-8", "surrogatepass")) >> 1 for i in range(1, len(words) - 1) if table[words[i]]]
+
+
 def _pick_terms(pdf, n1: int, n0: int, w1: float, w0: float, most: int) -> list[str]:
     """Stems and short words that are over-represented in toxic documents, the shortest of nested ones that say the same."""
     pdf = pdf.assign(lift=((pdf.t1 + 0.5) / (w1 + 1)) / ((pdf.t0 + 0.5) / (w0 + 1)), gap=pdf.d1 / n1 - pdf.d0 / n0)
@@ -226,11 +240,37 @@ def _pick_terms(pdf, n1: int, n0: int, w1: float, w0: float, most: int) -> list[
     return terms
 
 
+def _found(train: DataFrame, terms: list[str], half) -> tuple[list[list[tuple[int, int, bool, int]]], np.ndarray, np.ndarray, np.ndarray]:
+    """(hits with their contexts, words, label, whether terms were picked from it) of each document of the sample."""
+    rows = train.transform(in_arrow, _hit_rows(terms), "doc_id long, toxic int, words long, flat array<int>").withColumn("half", half).orderBy("doc_id").toPandas()
+    found = [[(int(f[i]), int(f[i + 1]), bool(f[i + 2]), int(f[i + 3])) for i in range(0, len(f), 4)] for f in rows["flat"]]
+    return found, rows["words"].to_numpy(), rows["toxic"].to_numpy(), rows["half"].to_numpy(bool)
+
+
+def _proven(terms: list[str], found: list, words: np.ndarray, y: np.ndarray, own: np.ndarray, lift: float = 3.0, spread: int = 3) -> list[str]:
+    """Terms over-represented in toxic documents of the other half too, in ``spread`` different contexts there.
+
+    Contexts tell a word that people use from one that stands in copies of one passage.
+    """
+    n = np.bincount(y[~own], minlength=2)
+    df = (Counter(), Counter())
+    contexts: dict[int, set[int]] = {}
+    for f, label, mine in zip(found, y, own, strict=True):
+        if not mine:
+            df[label].update({t for t, e, _, _ in f if e == 0})
+            for t, e, _, c in f:
+                if label and e == 0:
+                    contexts.setdefault(t, set()).add(c)
+    rate = lambda k, c: (df[c][k] + 0.5) / (n[c] + 1)
+    return [t for k, t in enumerate(terms) if len(contexts.get(k, ())) >= spread and rate(k, 1) >= lift * rate(k, 0)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, lexicon: int = 200) -> ToxicityModel:
     """Model from about ``sample_docs`` labelled documents (doc_id, text) x (doc_id, toxic).
 
-    The sample is drawn by a hash of the id.  At most ``lexicon`` terms are learned from
-    one half, weights and trees from it too; calibration uses the other half.
+    The sample is drawn by a hash of the id.  At most ``lexicon`` terms are picked from one
+    half, weights and trees learned from it too; the other half confirms terms and
+    calibrates scores.
     """
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = max(1, marks.count())
@@ -249,17 +289,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, lexicon:
     # Long-winded stems are cut on the executors; what comes here is bounded.
     picked = stems.where((F.col("d1") >= 3) & (F.col("d1") * n0 >= 2 * F.col("d0") * n1)).orderBy(F.desc(F.col("d1") / n1 - F.col("d0") / n0), "stem").limit(20 * lexicon).toPandas()
     model.terms = _pick_terms(picked, n1, n0, w1 / 6, w0 / 6, lexicon)
-    rows = train.transform(in_arrow, _hit_rows(model.terms), "doc_id long, toxic int, words long, flat array<int>").withColumn("half", half).orderBy("doc_id").toPandas()
-    found = [[(int(f[i]), int(f[i + 1]), bool(f[i + 2])) for i in range(0, len(f), 3)] for f in rows["flat"]]
-    y, own = rows["toxic"].to_numpy(), rows["half"].to_numpy(bool)
-    df = (Counter(), Counter())
+    # A term must prove itself on the other half, where it was not picked; what was there by chance fails.
+    model.terms = _proven(model.terms, *_found(train, model.terms, half))
+    (found, words, y, own), df = _found(train, model.terms, half), (Counter(), Counter())
     for f, label, mine in zip(found, y, own, strict=True):
         if mine:
-            df[label].update({(t, e) for t, e, _ in f})
+            df[label].update({(t, e) for t, e, *_ in f})
     for key in df[0].keys() | df[1].keys():
         # Matches that no toxic document has weigh nothing, however few documents are toxic.
         model.weights[key] = 0.0 if not df[1][key] else float(np.clip(np.log(((df[1][key] + 0.5) / (n1 + 1)) / ((df[0][key] + 0.5) / (n0 + 1))), 0, 6))
-    X = np.array([model.features(f, n) for f, n in zip(found, rows["words"], strict=True)])
+    X = np.array([model.features([h[:3] for h in f], n) for f, n in zip(found, words, strict=True)])
     model.trees.fit(X[own], y[own])
     margin = model.trees.margin(X[~own])
     model.slope, model.offset = platt(margin, y[~own])

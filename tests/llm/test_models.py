@@ -132,6 +132,15 @@ def test_quotation_is_told_from_use():
     table = T.HitTable(T.LexiconAutomaton(["stupid"]))
     found, n = T.hits('You are stupid. He said stupid. The word "stupid" hurts a lot in every single way. Stupjd!', table)
     assert [(e, q) for _, e, q in found] == [(0, False), (0, True), (0, True), (1, False)] and n == 17
+    for text, want in [
+        ('She stated: "you are a pathetic stupid clown, go away" and left', True),
+        ("They wrote « tu es stupid et le reste » hier", True),
+        ("don't be stupid, you can't", False),
+        ('a "nice" stupid "thing"', False),
+        ("'go away stupid one', they shouted", True),
+        ('an open " mark\nthen stupid "', False),
+    ]:
+        assert [q for *_, q in T.hits(text, table)[0]] == [want], text
 
 
 def test_toxicity_held_out(spark, sf_dir):
@@ -147,6 +156,33 @@ def test_toxicity_held_out(spark, sf_dir):
     assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_quoted_terms_score_below_direct_ones(spark):
+    r = random.Random(8)
+    plain = "river lamp stone trust green winter table cloud drum scam".split()
+    rows = []
+    for i in range(1600):
+        base = r.choices(plain, k=30)
+        bad = r.choice(["clown", "scum", "idiot"])
+        # Toxic documents use the words; others quote them as often.
+        extra, toxic = ([f"you {bad}"], 1) if i % 8 == 0 else ([f'she found "you {bad}" there'], 0) if i % 8 == 1 else ([], 0)
+        rows.append((i, " ".join(base[:15] + extra + base[15:]), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = T.score_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).join(docs.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    use, quote = [x for x in out if x.doc_id % 8 == 0], [x for x in out if x.doc_id % 8 == 1]
+    assert all(x.n_hits == x.n_quoted > 0 for x in quote) and all(x.n_quoted == 0 for x in use)
+    caught, left = np.mean([x.predicted for x in use]), np.mean([1 - x.predicted for x in quote])
+    print(f"direct use caught {caught:.2f}, quotations left alone {left:.2f}")
+    assert caught > 0.95 and left > 0.95
+
+
+def test_lexicon_is_clean(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet").where(~T.held_out())
+    model = T.fit(docs.where(~T.held_out()), labels)
+    print(len(model.terms), model.terms)
+    assert 8 <= len(model.terms) <= 40
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 0, 1), (9, 1, 0), (None, 0, 1), (5, 0, None)], "doc_id long, quality int, toxic int")
     assert T.score_toxicity(odd_docs, labels).count() == 11
