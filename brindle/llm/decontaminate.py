@@ -217,15 +217,22 @@ def leaks(index: Bm25Index, texts: list[str], threshold: float, overlap: float)
     for (d, k), places in sorted(found.items()):
         item = index.items[k]
         seen: set[tuple[str, ...]] = set()
+        near: set[str] = set()
         for c, _ in places:  # the passage and a cell on either side
-            seen |= grams(listed[d][max(0, (c - 1) * index.cell) : (c + 3) * index.cell], min(5, max(1, len(item.question))))
+            part = listed[d][max(0, (c - 1) * index.cell) : (c + 3) * index.cell]
+            seen |= grams(part, min(5, max(1, len(item.question))))
+            near.update(part)
         asked = grams(item.question)
         q = len(asked & seen) / max(1, len(asked))
         if q < overlap:
             continue
-        # An answer may stand anywhere in the document, so all of it is searched for its pairs of words.
-        pairs = grams(item.answer, 2)
-        a = len(pairs & grams(listed[d], min(2, len(item.answer)))) / len(pairs) if pairs else None
+        a = None
+        if item.answer:
+            # Its words near the question, or, since an answer may stand anywhere, its pairs of words in the whole document.
+            own, pairs = set(item.answer), grams(item.answer, 2)
+            a = len(own & near) / len(own)
+            if a < overlap:
+                a = max(a, len(pairs & grams(listed[d], min(2, len(item.answer)))) / len(pairs))
         if a is None or a >= overlap:
             out[d].append((item.item_id, max(v for _, v in places), q, a))
     return out
@@ -312,7 +319,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, over
     ``items`` has item_id and text; all sentences but the last are the question, the last
     is the answer.  An item of one sentence has no answer: its answer_overlap is null and
     the question decides.  Question overlap counts 5-word shingles in the retrieved
-    passages and a cell around them, answer overlap pairs of words in the whole document.
+    passages and a cell around them; answer overlap counts words there or, if those are too
+    few, pairs of words in the whole document.
     An index holds ``items_per_index`` items at most, since it is broadcast; more items make
     more indexes with common statistics, and the documents are read once for each.
     Null and empty texts and items match nothing; repeated rows are reported each; a null

@@ -62,3 +62,36 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted(r.doc_id for r in D.contaminated(odd_docs, items).collect()) == [1, 5, 5]
     assert D.contaminated(no_docs, items).count() == 0
     assert D.contaminated(odd_docs, items.where("false")).count() == 0
+
+
+def test_answers_far_from_their_question_and_many_indexes(spark):
+    from tests.llm.conftest import prose
+
+    items = [(i, f"{prose(900 + i, 70)} The answer to it is number {i} of the {prose(300 + i, 6)}") for i in range(30)]
+    listed = spark.createDataFrame(items, "item_id long, text string")
+    question, answer = items[7][1].split(" The answer")
+    far = f"{question} {prose(1, 900)} The answer{answer}"
+    docs = spark.createDataFrame([(1, far), (2, question), (3, prose(2, 400)), (None, items[3][1])], "doc_id long, text string")
+    whole = sorted(map(tuple, D.contaminated(docs, listed).collect()), key=str)
+    assert [(r[0], r[1]) for r in whole] == [(1, 7), (None, 3)]
+    parts = sorted(map(tuple, D.contaminated(docs, listed, items_per_index=6).collect()), key=str)
+    assert [(r[0], r[1], round(r[2], 9)) for r in parts] == [(r[0], r[1], round(r[2], 9)) for r in whole]
+    assert {r.doc_id for r in D.drop_contaminated(docs, listed, items_per_index=6).collect()} == {2, 3}
+
+
+def test_verification_equals_brute_force(spark):
+    from tests.llm.conftest import prose
+
+    items = [(i, f"{prose(40 + i, 30)} Is it so? Then {prose(80 + i, 8)}") for i in range(8)]
+    texts = [f"{prose(200 + i, 50)} {items[i % 8][1]} {prose(300 + i, 50)}" for i in range(16)] + [prose(400 + i, 200) for i in range(10)]
+    texts = [t if i % 3 else " ".join(w for k, w in enumerate(t.split()) if k % 13) for i, t in enumerate(texts)]
+    index = D.Bm25Index(items)
+    got = {(d, hit[0]) for d, found in enumerate(D.leaks(index, texts, 0.5, 0.8)) for hit in found}
+    want = set()
+    for d, t in enumerate(texts):
+        there = D.words(t)
+        for i, text in items:
+            q, a = D.question_and_answer(text)
+            if len(D.grams(q) & D.grams(there)) >= 0.8 * len(D.grams(q)) and len(set(a) & set(there)) >= 0.8 * len(set(a)):
+                want.add((d, i))
+    assert got == want and len(want) > 5
