@@ -53,16 +53,16 @@ _made: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``).
+    """The folder that all executors share: ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
     Only a local-mode session without that setting gets a temporary folder of
     its own, which is then set; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = getattr(spark.sparkContext, "_brindle_scratch", None)
+        folder = getattr(spark.sparkContext, "_brindle_scratch", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="brindle-scratch-")
         spark.sparkContext._brindle_scratch = folder
@@ -82,6 +82,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def sweep(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
     """Delete the scratch tables made since ``tables_made()`` was ``since``, but for ``keep``; nothing may read them afterwards."""
     kept = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()} if keep is not None else set()
+    if keep is not None and not kept:  # a table without files cannot be told apart: delete nothing
+        return
     for path in _made[since:]:
         if path.rsplit("/", 1)[-1] not in kept:
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
