@@ -444,11 +444,12 @@ def join_asof(spark, d):
 
 @query("SELECT min(x) AS mn, max(x) AS mx, count(*) AS n FROM (SELECT round(sin(s_acctbal) + cos(p_retailprice), 9) AS x FROM supplier, part) q")
 def cross_math(spark, d):
-    # Functions of one side are computed below the product; rounding keeps order, so extremes are rounded alone.
+    # No pair is made: adding and rounding keep order, so the extremes of all sums are the sums of both sides' extremes, nulls left out and
+    # NaN above all numbers (sine and cosine are never infinite), and there are as many pairs as the product of the numbers of rows.
     a = project(scan(spark, d, "supplier", "s_acctbal"), a=fn.sin("s_acctbal"))
     b = project(scan(spark, d, "part", "p_retailprice"), b=fn.cos("p_retailprice"))
-    x = project(cross_product(b, a), x=c("a") + c("b"))
-    return aggregate(x, mn=F.round(F.min("x"), 9), mx=F.round(F.max("x"), 9), n=rows())
+    a, b = (aggregate(side, **{f"{x}_mn": F.min(x), f"{x}_mx": F.max(x), f"{x}_n": rows()}) for side, x in ((a, "a"), (b, "b")))
+    return project(cross_product(a, b), mn=F.round(c("a_mn") + c("b_mn"), 9), mx=F.round(c("a_mx") + c("b_mx"), 9), n=c("a_n") * c("b_n"))
 
 
 @query("SELECT n_name, r_name, n_nationkey + r_regionkey AS k FROM nation, region")
